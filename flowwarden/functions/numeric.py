@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Text accepted as a number. Java's parser also takes "1d" and "1f"; those are rejected here.
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
@@ -48,3 +48,22 @@ def quoted(name: str) -> str:
 
 def col(name: str) -> Column:
     return F.col(quoted(name))
+
+
+def finite_column(df: DataFrame, name: str) -> Column:
+    """:func:`finite_or_null` of a column; whole-number columns need no check."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return col(name).cast("double")
+    return finite_or_null(col(name))
+
+
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters and projections use by reference.
+
+    Catalyst copies an expression into every filter and projection above it;
+    for wide CASE trees used many times that makes plans too large to compile.
+    A one-row ``inline`` keeps the columns computed in one place. Filters on the
+    other columns still move below it to the scan.
+    """
+    kept = [col(c) for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, DetectionConfig
-from ..functions.numeric import col, finite_or_null, ratio
+from ..functions.numeric import col, compute_once, finite_column, ratio
 from ..functions.verdicts import severity
 from ..schema import RULE_INPUT_ALIASES, SEVERITY
 
@@ -46,17 +46,19 @@ def resolve_input(df: DataFrame, key: str) -> Column:
     candidates = []
     for name in (key, *RULE_INPUT_ALIASES.get(key, ())):
         if name in df.columns:
-            value = finite_or_null(col(name))
+            value = finite_column(df, name)
             candidates.append(value * 1000.0 if name == "bidirectional_duration_ms" else value)
     return F.coalesce(*candidates, F.lit(0.0))
 
 
 def _nonzero_int(df: DataFrame, meta: str, feature: str, default: int) -> Column:
     """Integer part of the first non-zero value of the meta column and the feature."""
-    found = [
-        F.nullif(finite_or_null(col(name)), F.lit(0.0)) for name in (meta, feature) if name in df.columns
-    ]
-    return F.coalesce(*found, F.lit(float(default))).cast("int")
+    found = []
+    for name in (meta, feature):
+        if name in df.columns:
+            value = finite_column(df, name).cast("int")
+            found.append(F.when(value != 0, value))
+    return F.coalesce(*found, F.lit(default))
 
 
 def flow_port(df: DataFrame) -> Column:
@@ -75,7 +77,7 @@ INPUT_COLUMNS = (
 
 def with_rule_inputs(df: DataFrame) -> DataFrame:
     """Add the resolved rule inputs as ``in_*`` columns."""
-    base = df.withColumns({
+    base = compute_once(df, {
         "in_fwd": resolve_input(df, "Tot Fwd Pkts"),
         "in_bwd": resolve_input(df, "Tot Bwd Pkts"),
         "in_fwd_bytes": resolve_input(df, "TotLen Fwd Pkts"),
@@ -177,22 +179,30 @@ def fired_flags(rules: Sequence[Rule]) -> Column:
     return F.array_compact(F.array(*[r.flag for r in rules])) if rules else F.array().cast("array<string>")
 
 
+def first_fired(rules: Sequence[Rule]) -> Column:
+    """Name of the first rule that fires, else NULL."""
+    name = F
+    for rule in rules:
+        name = name.when(rule.condition, F.lit(rule.full_name))
+    return name.otherwise(F.lit(None).cast("string"))
+
+
 def fold_verdict(rules: Sequence[Rule], verdict: Column, source: Column) -> tuple[Column, Column]:
     """Verdict and source after all rules; a verdict only ever moves up.
 
     Going through the rules one by one, the last one that raises the verdict is
     the first fired rule of the highest fired level, so both results are one
-    CASE over the rules sorted by falling level, for any rule order.
+    CASE over the levels, for any rule order.
     """
-    new_verdict, new_source = None, None
-    incoming = severity(verdict)
-    for rule in sorted(rules, key=lambda r: -SEVERITY[r.level]):
-        raises = rule.condition & (incoming < SEVERITY[rule.level])
-        level, name = F.lit(rule.level), F.lit(f"HEUR:{rule.full_name}")
-        new_verdict = F.when(raises, level) if new_verdict is None else new_verdict.when(raises, level)
-        new_source = F.when(raises, name) if new_source is None else new_source.when(raises, name)
-    if new_verdict is None:
+    new_verdict = new_source = F
+    levels = sorted({r.level for r in rules}, key=lambda level: -SEVERITY[level])
+    if not levels:
         return verdict, source
+    for level in levels:
+        name = first_fired([r for r in rules if r.level == level])
+        raises = (severity(verdict) < SEVERITY[level]) & name.isNotNull()
+        new_verdict = new_verdict.when(raises, F.lit(level))
+        new_source = new_source.when(raises, F.concat(F.lit("HEUR:"), name))
     return new_verdict.otherwise(verdict), new_source.otherwise(source)
 
 
@@ -202,17 +212,19 @@ def apply_rules(
     rules: Sequence[Rule] | None = None,
     guard: Column | None = None,
 ) -> DataFrame:
-    """Upgrade ``verdict``/``source`` and add ``heuristic_flags``; rows where ``guard`` is false are left alone."""
+    """Upgrade ``verdict``/``source`` and add ``heuristic_flags``; rows where ``guard`` is false are left alone.
+
+    The flag texts are computed only where a later step reads them.
+    """
     rules = built_in_rules(cfg) if rules is None else list(rules)
     if not cfg.rules_enabled:
         return df.withColumn("heuristic_flags", F.array().cast("array<string>"))
     if guard is not None:
         rules = [Rule(r.name, r.level, guard & r.condition, r.text, r.numbers) for r in rules]
-    verdict, source = fold_verdict(rules, F.col("verdict"), F.col("source"))
     ready = df if "in_packets" in df.columns else with_rule_inputs(df)
-    return ready.withColumns({"verdict": verdict, "source": source, "heuristic_flags": fired_flags(rules)}).drop(
-        *INPUT_COLUMNS
-    )
+    verdict, source = fold_verdict(rules, F.col("verdict"), F.col("source"))
+    judged = compute_once(ready, {"verdict": verdict, "source": source})
+    return judged.withColumn("heuristic_flags", fired_flags(rules)).drop(*INPUT_COLUMNS)
 
 
 def explain_rules(

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, DetectionConfig
+from ..functions.numeric import compute_once
 from ..functions.verdicts import action
 from ..operators.fusion import anomaly_flag, anomaly_threshold, fuse, is_attack, is_whitelisted
-from ..operators.rules import Rule, apply_rules, flow_port, flow_protocol
+from ..operators.rules import Rule, apply_rules, flow_port, flow_protocol, with_rule_inputs
 
 
 def score_flows(
@@ -21,24 +22,24 @@ def score_flows(
     Whitelisted flows skip models and rules through one guard column. Their
     model columns may be NULL.
     """
-    port, protocol = flow_port(df), flow_protocol(df)
+    port, protocol = F.col("flow_port"), F.col("flow_protocol")
     white = F.col("whitelisted")
-    prepared = df.withColumns({
-        "flow_port": port,
-        "flow_protocol": protocol,
+    located = compute_once(with_rule_inputs(df), {
+        "flow_port": flow_port(df), "flow_protocol": flow_protocol(df),
+    })
+    prepared = compute_once(located, {
         "whitelisted": is_whitelisted(port, F.col("src_ip"), F.col("dst_ip"), cfg),
+        "threshold": anomaly_threshold(port, protocol, cfg),
     }).withColumns({
         "label": F.when(white, F.lit(cfg.benign_label)).otherwise(F.col("rf_label")),
         "confidence": F.when(white, F.lit(1.0)).otherwise(F.col("rf_confidence")),
         "anomaly_score": F.when(white, F.lit(0.0)).otherwise(F.col("ae_score")),
-    }).withColumn(
-        "anomaly_flagged",
-        ~white & anomaly_flag(F.col("anomaly_score"), anomaly_threshold(F.col("flow_port"), F.col("flow_protocol"), cfg)),
-    )
+        "anomaly_flagged": ~white & anomaly_flag(F.col("ae_score"), F.col("threshold")),
+    })
     verdict, source = fuse(
         F.col("label") != cfg.benign_label, F.col("confidence"), F.col("anomaly_flagged"), F.col("anomaly_score"), cfg
     )
-    fused = prepared.withColumns({
+    fused = compute_once(prepared, {
         "verdict": F.when(white, F.lit("BENIGN")).otherwise(verdict),
         "source": F.when(white, F.lit("WHITELIST")).otherwise(source),
     })
@@ -46,7 +47,7 @@ def score_flows(
     return ruled.withColumns({
         "is_attack": is_attack(F.col("verdict")),
         "action": action(F.col("verdict")),
-    }).drop("flow_port", "flow_protocol")
+    }).drop("flow_port", "flow_protocol", "threshold")
 
 
 def rounded_verdict(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..functions.numeric import col, divide_or_null, finite_or_null
 from ..functions.prefix import exact_percentiles, sketch_percentiles
 from ..schema import BENIGN, LABEL
+from ..session import materialise
 
 MAX_NATIVE_PAIRS_COLUMNS = 20
 
@@ -163,7 +164,7 @@ def low_cardinality_columns(df: DataFrame, columns: Sequence[str], limit: int =
     ``limit`` values at most ``limit`` registers of the sketch are set, so its
     estimate stays below twice the limit.
     """
-    sketch = column_report(df, columns, {"estimate": lambda c: F.approx_count_distinct(c, 0.01)}).collect()
+    sketch = column_report(df, columns, {"estimate": lambda c: F.approx_count_distinct(c)}).collect()
     narrow = [r["column_name"] for r in sketch if r["estimate"] <= 2 * limit]
     if not narrow:
         empty = "column_name string, n_distinct bigint, value_counts array<struct<value:double,n:bigint>>"
@@ -231,7 +232,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def high_correlations(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Pairs with |r| >= threshold; the member less correlated with all columns is the drop candidate.
 
-    Means are compared at 12 decimals; a tie drops the later column.
+    Means are compared at 12 decimals; a tie drops the later column. The result
+    is bounded by the number of columns and written once, later steps read it often.
     """
     both = pairs.select("feat_a", "r").unionByName(
         pairs.filter("i <> j").select(F.col("feat_b").alias("feat_a"), "r")
@@ -239,7 +241,7 @@ def high_correlations(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
     means = both.groupBy(F.col("feat_a").alias("feat")).agg(F.round(F.avg(F.abs("r")), 12).alias("mean_r"))
     a = means.select(F.col("feat").alias("feat_a"), F.col("mean_r").alias("mean_a"))
     b = means.select(F.col("feat").alias("feat_b"), F.col("mean_r").alias("mean_b"))
-    return (
+    return materialise(
         pairs.filter((F.col("i") < F.col("j")) & (F.abs("r") >= threshold))
         .join(a, "feat_a").join(b, "feat_b")
         .select(

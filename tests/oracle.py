@@ -55,4 +55,5 @@ def compare(spark_df, con, sql: str) -> str | None:
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     bad = [(g, w) for g, w in zip(got, want) if g != w]
-    return f"{len(bad)} rows differ, first: spark={dict(zip(cols, bad[0][0]))} duck={dict(zip(cols, bad[0][1]))}"
+    g, w = bad[0]
+    return f"{len(bad)} rows differ, first: " + str({c: (a, b) for c, a, b in zip(cols, g, w) if a != b})

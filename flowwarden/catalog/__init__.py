@@ -1,4 +1,4 @@
 """Registered queries: every operator over the driver tables, with its oracle SQL."""
 
-from . import evaluation, preparation, profiling, scoring, streams  # noqa: F401
+from . import evaluation, models, preparation, profiling, scoring, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

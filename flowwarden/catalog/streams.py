@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from ..operators.assembly import assemble_flows
 from ..operators.dedup import dedup_counts, dedup_timeline, sent_alerts
 from ..operators.features import flow_features
+from ..plans.reports import stream_counters
+from ..session import scratch_path
+from ..sources.streams import read_flow_stream, write_alerts, write_stream
+from ..streaming.dedup import dedup_stream
+from ..streaming.jobs import assemble_stream, observed, score_stream
 from .registry import query
-from .scoring import WITH_SCORED, scored_flows
-from .views import KEYS, WITH_FLOWS, WITH_PACKETS, flows, packets
+from .scoring import _ACTION_SQL, WITH_SCORED, scored_flows
+from .views import FLOWS_V, KEYS, PACKETS_V, WITH_FLOWS, WITH_PACKETS, as_features, flows, packets, table
 
 _DEDUP_KEY = ("src_ip", "dst_ip", "rf_label")
 
@@ -58,8 +63,6 @@ SELECT (SELECT count(*) FROM scored) AS flows, (SELECT count(*) FROM scored WHER
   (SELECT count(*) FROM scored WHERE source LIKE 'HEUR:%') AS rule_raised,
   (SELECT count(sent_ms) FROM line) AS alerts_sent, (SELECT sum(suppressed) FROM line) AS alerts_suppressed""")
 def a19(spark, sf_dir):
-    from ..plans.reports import stream_counters
-
     return stream_counters(scored_flows(spark, sf_dir))
 
 
@@ -134,3 +137,68 @@ def d05_features(spark, sf_dir):
 @query("d02_dedup_counts", f"{WITH_FLOWS}, {_chain_sql('flows_v', _DEDUP_KEY, 'start_time_ms', 30000)} SELECT count(DISTINCT ({', '.join(_DEDUP_KEY)})) AS n_keys, count(sent_ms) AS sent, sum(suppressed) AS suppressed FROM line")
 def d02_counts(spark, sf_dir):
     return dedup_counts(dedup_timeline(flows(spark, sf_dir), _DEDUP_KEY, "start_time_ms"))
+
+
+# ---- streaming jobs over the same tables, run until all available input is processed
+
+def _table_stream(spark, sf_dir, name):
+    return read_flow_stream(spark, sf_dir, table(spark, sf_dir, name).schema, pattern=f"{name}.parquet")
+
+
+def flow_stream(spark, sf_dir):
+    return spark.sql(FLOWS_V.replace("FROM lineitem", "FROM {lineitem}"), lineitem=_table_stream(spark, sf_dir, "lineitem"))
+
+
+def packet_stream(spark, sf_dir):
+    raw = spark.sql(PACKETS_V.replace("FROM events", "FROM {events}"), events=_table_stream(spark, sf_dir, "events"))
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(spark, df, name):
+    """Run a stream to its end and read what it wrote."""
+    out = scratch_path(spark, name)
+    write_stream(df, out, scratch_path(spark, f"{name}-state")).awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query("s09_flow_stream", f"{WITH_FLOWS} SELECT {', '.join(KEYS)}, src_ip, dst_port, rf_confidence FROM flows_v")
+def s09(spark, sf_dir):
+    return _run(spark, flow_stream(spark, sf_dir).select(*KEYS, "src_ip", "dst_port", "rf_confidence"), "flows")
+
+
+@query("d01_stream_scoring", f"""{WITH_SCORED} SELECT {', '.join(KEYS)}, verdict, source, {_ACTION_SQL} AS action FROM scored""")
+def d01(spark, sf_dir):
+    scored = score_stream(as_features(flow_stream(spark, sf_dir)))
+    return _run(spark, scored.select(*KEYS, "verdict", "source", "action"), "scored")
+
+
+@query("s10_alert_sink", f"""{WITH_SCORED} SELECT {', '.join(KEYS)}, verdict, {_ACTION_SQL} AS action FROM scored WHERE verdict <> 'BENIGN'""")
+def s10(spark, sf_dir):
+    out = scratch_path(spark, "alerts")
+    scored = score_stream(as_features(flow_stream(spark, sf_dir)))
+    write_alerts(scored, out, scratch_path(spark, "alerts-state"), keep=KEYS).awaitTermination()
+    return spark.read.parquet(out).select(*KEYS, "verdict", "action")
+
+
+@query("d02_stream_dedup", f"{WITH_FLOWS}, {_chain_sql('flows_v', _DEDUP_KEY, 'start_time_ms', 30000)} SELECT {', '.join(_DEDUP_KEY)}, sent_ms, suppressed FROM line WHERE sent_ms IS NOT NULL")
+def d02_stream(spark, sf_dir):
+    sent = dedup_stream(flow_stream(spark, sf_dir), _DEDUP_KEY, "start_time_ms")
+    return _run(spark, sent, "dedup").filter("sent_ms IS NOT NULL")
+
+
+@query("d04_stream_counters", f"""{WITH_SCORED} SELECT count(*) AS flows, count(*) FILTER (verdict = 'ATTACK') AS attack, count(*) FILTER (verdict = 'SUSPECT') AS suspect,
+  count(*) FILTER (verdict = 'ANOMALY') AS anomaly, count(*) FILTER (verdict = 'BENIGN') AS benign, count(*) FILTER (len(fired) > 0) AS rule_hits,
+  count(*) FILTER (source LIKE 'HEUR:%') AS rule_raised FROM scored""")
+def d04(spark, sf_dir):
+    """Counters observed on the stream, summed over its batches."""
+    scored = observed(score_stream(as_features(flow_stream(spark, sf_dir))))
+    run = write_stream(scored.select("verdict"), scratch_path(spark, "counted"), scratch_path(spark, "counted-state"))
+    run.awaitTermination()
+    rows = [p.observedMetrics["flow_counters"].asDict() for p in run.recentProgress if "flow_counters" in p.observedMetrics]
+    return spark.createDataFrame(rows).groupBy().agg(*[F.sum(c).alias(c) for c in (
+        "flows", "attack", "suspect", "anomaly", "benign", "rule_hits", "rule_raised")])
+
+
+@query("d05_stream_assembly")
+def d05_stream(spark, sf_dir):
+    return _run(spark, assemble_stream(packet_stream(spark, sf_dir), idle_ms=_IDLE), "assembled")

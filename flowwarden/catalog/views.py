@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import tune
+
 FLOWS_V = """
 SELECT
   l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -75,7 +77,7 @@ FEATURE_OF = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:

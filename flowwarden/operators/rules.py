@@ -72,12 +72,18 @@ def flow_protocol(df: DataFrame, default: int = 0) -> Column:
 INPUT_COLUMNS = (
     "in_fwd", "in_bwd", "in_fwd_bytes", "in_bwd_bytes", "in_syn", "in_fin", "in_psh", "in_urg",
     "in_duration_s", "in_port", "in_protocol", "in_packets", "in_bytes",
+    "in_syn_share", "in_psh_share", "in_urg_share", "in_packet_size", "in_byte_rate", "in_packet_rate",
 )
 
 
 def with_rule_inputs(df: DataFrame) -> DataFrame:
-    """Add the resolved rule inputs as ``in_*`` columns."""
-    base = compute_once(df, {
+    """Add the resolved rule inputs, totals and rates as ``in_*`` columns.
+
+    They are added in layers of small projections: a column used several times
+    above stays its own projection, which keeps the generated code of each one
+    short enough for the JIT compiler.
+    """
+    base = df.withColumns({
         "in_fwd": resolve_input(df, "Tot Fwd Pkts"),
         "in_bwd": resolve_input(df, "Tot Bwd Pkts"),
         "in_fwd_bytes": resolve_input(df, "TotLen Fwd Pkts"),
@@ -90,10 +96,19 @@ def with_rule_inputs(df: DataFrame) -> DataFrame:
         "in_port": flow_port(df),
         "in_protocol": flow_protocol(df, default=-1),
     })
-    return base.withColumns({
+    totals = base.withColumns({
         "in_packets": F.col("in_fwd") + F.col("in_bwd"),
         "in_bytes": F.col("in_fwd_bytes") + F.col("in_bwd_bytes"),
     })
+    packets, size, seconds = F.col("in_packets"), F.col("in_bytes"), F.col("in_duration_s")
+    return totals.withColumns({
+        "in_syn_share": ratio(F.col("in_syn"), packets),
+        "in_psh_share": ratio(F.col("in_psh"), packets),
+        "in_urg_share": ratio(F.col("in_urg"), packets),
+        "in_packet_size": ratio(size, packets),
+        "in_byte_rate": ratio(size, seconds),
+        "in_packet_rate": ratio(packets, seconds),
+    })
 
 
 def _text(template: str, *values: Column) -> Column:
@@ -104,11 +119,11 @@ def built_in_rules(cfg: DetectionConfig = DEFAULT) -> list[Rule]:
     """The nine built-in rules, in evaluation order."""
     c = F.col
     fwd, packets, size = c("in_fwd"), c("in_packets"), c("in_bytes")
-    syn, fin, psh, urg = c("in_syn"), c("in_fin"), c("in_psh"), c("in_urg")
+    syn, fin = c("in_syn"), c("in_fin")
     seconds, port, protocol = c("in_duration_s"), c("in_port"), c("in_protocol")
     web = port.isin(*cfg.web_ports)
-    syn_share, psh_share, urg_share = ratio(syn, packets), ratio(psh, packets), ratio(urg, packets)
-    packet_size, byte_rate, packet_rate = ratio(size, packets), ratio(size, seconds), ratio(packets, seconds)
+    syn_share, psh_share, urg_share = c("in_syn_share"), c("in_psh_share"), c("in_urg_share")
+    packet_size, byte_rate, packet_rate = c("in_packet_size"), c("in_byte_rate"), c("in_packet_rate")
 
     def whole(x: Column) -> Column:
         return x.cast("bigint")
@@ -187,23 +202,29 @@ def first_fired(rules: Sequence[Rule]) -> Column:
     return name.otherwise(F.lit(None).cast("string"))
 
 
-def fold_verdict(rules: Sequence[Rule], verdict: Column, source: Column) -> tuple[Column, Column]:
-    """Verdict and source after all rules; a verdict only ever moves up.
+def fold_verdict(df: DataFrame, rules: Sequence[Rule], guard: Column | None = None) -> DataFrame:
+    """Replace ``verdict`` and ``source`` by their values after all rules; a verdict only ever moves up.
 
     Going through the rules one by one, the last one that raises the verdict is
-    the first fired rule of the highest fired level, so both results are one
-    CASE over the levels, for any rule order.
+    the first fired rule of the highest fired level, so one CASE over the levels
+    decides, for any rule order.
     """
-    new_verdict = new_source = F
     levels = sorted({r.level for r in rules}, key=lambda level: -SEVERITY[level])
     if not levels:
-        return verdict, source
-    for level in levels:
-        name = first_fired([r for r in rules if r.level == level])
-        raises = (severity(verdict) < SEVERITY[level]) & name.isNotNull()
-        new_verdict = new_verdict.when(raises, F.lit(level))
-        new_source = new_source.when(raises, F.concat(F.lit("HEUR:"), name))
-    return new_verdict.otherwise(verdict), new_source.otherwise(source)
+        return df
+    helper = {level: f"rule_{level.lower()}" for level in levels}
+    named = {}
+    for level, name in helper.items():
+        fired = first_fired([r for r in rules if r.level == level])
+        named[name] = fired if guard is None else F.when(guard, fired)
+    found = df.withColumns({**named, "level_in": severity(F.col("verdict"))})
+    verdict = source = F
+    for level, name in helper.items():
+        raises = (F.col("level_in") < SEVERITY[level]) & F.col(name).isNotNull()
+        verdict = verdict.when(raises, F.lit(level))
+        source = source.when(raises, F.concat(F.lit("HEUR:"), name))
+    judged = compute_once(found, {"verdict": verdict.otherwise(F.col("verdict")), "source": source.otherwise(F.col("source"))})
+    return judged.drop(*helper.values(), "level_in")
 
 
 def apply_rules(
@@ -218,13 +239,12 @@ def apply_rules(
     """
     rules = built_in_rules(cfg) if rules is None else list(rules)
     if not cfg.rules_enabled:
-        return df.withColumn("heuristic_flags", F.array().cast("array<string>"))
-    if guard is not None:
-        rules = [Rule(r.name, r.level, guard & r.condition, r.text, r.numbers) for r in rules]
+        return df.withColumn("heuristic_flags", F.array().cast("array<string>")).drop(*INPUT_COLUMNS)
     ready = df if "in_packets" in df.columns else with_rule_inputs(df)
-    verdict, source = fold_verdict(rules, F.col("verdict"), F.col("source"))
-    judged = compute_once(ready, {"verdict": verdict, "source": source})
-    return judged.withColumn("heuristic_flags", fired_flags(rules)).drop(*INPUT_COLUMNS)
+    flags = fired_flags(rules)
+    if guard is not None:
+        flags = F.when(guard, flags).otherwise(F.array().cast("array<string>"))
+    return fold_verdict(ready, rules, guard).withColumn("heuristic_flags", flags).drop(*INPUT_COLUMNS)
 
 
 def explain_rules(

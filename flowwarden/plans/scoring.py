@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, DetectionConfig
-from ..functions.numeric import compute_once
 from ..functions.verdicts import action
 from ..operators.fusion import anomaly_flag, anomaly_threshold, fuse, is_attack, is_whitelisted
 from ..operators.rules import Rule, apply_rules, flow_port, flow_protocol, with_rule_inputs
@@ -24,10 +23,8 @@ def score_flows(
     """
     port, protocol = F.col("flow_port"), F.col("flow_protocol")
     white = F.col("whitelisted")
-    located = compute_once(with_rule_inputs(df), {
-        "flow_port": flow_port(df), "flow_protocol": flow_protocol(df),
-    })
-    prepared = compute_once(located, {
+    located = with_rule_inputs(df).withColumns({"flow_port": flow_port(df), "flow_protocol": flow_protocol(df)})
+    prepared = located.withColumns({
         "whitelisted": is_whitelisted(port, F.col("src_ip"), F.col("dst_ip"), cfg),
         "threshold": anomaly_threshold(port, protocol, cfg),
     }).withColumns({
@@ -39,7 +36,7 @@ def score_flows(
     verdict, source = fuse(
         F.col("label") != cfg.benign_label, F.col("confidence"), F.col("anomaly_flagged"), F.col("anomaly_score"), cfg
     )
-    fused = compute_once(prepared, {
+    fused = prepared.withColumns({
         "verdict": F.when(white, F.lit("BENIGN")).otherwise(verdict),
         "source": F.when(white, F.lit("WHITELIST")).otherwise(source),
     })

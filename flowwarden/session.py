@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# The JVM does not compile methods above 8000 bytes of bytecode. Wide CASE projections
+# fused into one method would run interpreted; below this limit Spark splits them instead.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings to a session that was built elsewhere."""
+    for key, value in TUNING.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
 
 def build_session(app: str = "flowwarden", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for; ``conf`` overrides."""
@@ -21,6 +33,7 @@ def build_session(app: str = "flowwarden", master: str | None = None, **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
+        **TUNING,
         **conf,
     }
     for key, value in settings.items():

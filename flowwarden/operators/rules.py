@@ -203,15 +203,15 @@ def first_fired(rules: Sequence[Rule]) -> Column:
 
 
 def fold_verdict(df: DataFrame, rules: Sequence[Rule], guard: Column | None = None) -> DataFrame:
-    """Replace ``verdict`` and ``source`` by their values after all rules; a verdict only ever moves up.
+    """Replace ``verdict`` and ``source`` by their values after all rules and add ``rule_fired``.
 
-    Going through the rules one by one, the last one that raises the verdict is
+    A verdict only ever moves up. Going through the rules one by one, the last one that raises the verdict is
     the first fired rule of the highest fired level, so one CASE over the levels
     decides, for any rule order.
     """
     levels = sorted({r.level for r in rules}, key=lambda level: -SEVERITY[level])
     if not levels:
-        return df
+        return df.withColumn("rule_fired", F.lit(False))
     helper = {level: f"rule_{level.lower()}" for level in levels}
     named = {}
     for level, name in helper.items():
@@ -223,7 +223,11 @@ def fold_verdict(df: DataFrame, rules: Sequence[Rule], guard: Column | None = No
         raises = (F.col("level_in") < SEVERITY[level]) & F.col(name).isNotNull()
         verdict = verdict.when(raises, F.lit(level))
         source = source.when(raises, F.concat(F.lit("HEUR:"), name))
-    judged = compute_once(found, {"verdict": verdict.otherwise(F.col("verdict")), "source": source.otherwise(F.col("source"))})
+    judged = compute_once(found, {
+        "verdict": verdict.otherwise(F.col("verdict")),
+        "source": source.otherwise(F.col("source")),
+        "rule_fired": F.coalesce(*[F.col(name) for name in helper.values()]).isNotNull(),
+    })
     return judged.drop(*helper.values(), "level_in")
 
 
@@ -233,13 +237,14 @@ def apply_rules(
     rules: Sequence[Rule] | None = None,
     guard: Column | None = None,
 ) -> DataFrame:
-    """Upgrade ``verdict``/``source`` and add ``heuristic_flags``; rows where ``guard`` is false are left alone.
+    """Upgrade ``verdict``/``source``, add ``rule_fired`` and ``heuristic_flags``; rows where ``guard`` is false are left alone.
 
     The flag texts are computed only where a later step reads them.
     """
     rules = built_in_rules(cfg) if rules is None else list(rules)
     if not cfg.rules_enabled:
-        return df.withColumn("heuristic_flags", F.array().cast("array<string>")).drop(*INPUT_COLUMNS)
+        off = {"rule_fired": F.lit(False), "heuristic_flags": F.array().cast("array<string>")}
+        return df.withColumns(off).drop(*INPUT_COLUMNS)
     ready = df if "in_packets" in df.columns else with_rule_inputs(df)
     flags = fired_flags(rules)
     if guard is not None:

@@ -15,7 +15,7 @@ def flow_counters() -> list:
     return [
         F.count(F.lit(1)).alias("flows"),
         *[F.count_if(v == name.upper()).alias(name) for name in ("attack", "suspect", "anomaly", "benign")],
-        F.count_if(F.size("heuristic_flags") > 0).alias("rule_hits"),
+        F.count_if("rule_fired").alias("rule_hits"),
         F.count_if(F.col("source").startswith("HEUR:")).alias("rule_raised"),
     ]
 

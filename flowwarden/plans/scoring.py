@@ -67,5 +67,5 @@ def verdict_counts(scored: DataFrame) -> DataFrame:
 def verdict_summary(scored: DataFrame) -> DataFrame:
     """Flows per verdict, source and action."""
     return scored.groupBy("verdict", "source", "action").agg(
-        F.count("*").alias("flows"), F.count_if(F.size("heuristic_flags") > 0).alias("rule_hits")
+        F.count("*").alias("flows"), F.count_if("rule_fired").alias("rule_hits")
     )

@@ -13,7 +13,7 @@ from ..functions.prefix import exact_percentiles, sketch_percentiles
 from ..schema import BENIGN, LABEL
 from ..session import materialise
 
-MAX_NATIVE_PAIRS_COLUMNS = 20
+MAX_NATIVE_PAIRS_COLUMNS = 6
 
 
 def column_report(
@@ -213,13 +213,17 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The same long table for wide schemas, from one distributed Gram matrix."""
+    """The same long table for wide schemas, from one distributed Gram matrix.
+
+    The matrix has 1.0 on the diagonal of a constant column too, so constants are looked up.
+    """
+    constant = set(constant_columns(df, columns))
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(
         df.select(*[col(c).cast("double").alias(c) for c in columns])
     )
     matrix = Correlation.corr(vectors, "_v").head()[0].toArray()
     rows = [
-        (i, j, columns[i], columns[j], None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
+        (i, j, columns[i], columns[j], None if constant & {columns[i], columns[j]} else float(matrix[i, j]))
         for i in range(len(columns)) for j in range(i, len(columns))
     ]
     return df.sparkSession.createDataFrame(rows, "i int, j int, feat_a string, feat_b string, r double")

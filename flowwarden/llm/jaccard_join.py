@@ -247,8 +247,36 @@ def membership(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, set_key long, n_shingles long")
 
 
-def _fetch(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, data): the shingle set of each wanted key, from one row of each."""
+def parity_bits(s: np.ndarray) -> bytes:
+    """The set's size and a bitmap of at least twice as many bits, each the parity of the elements that fall on it."""
+    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    counts = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width)
+    return np.int64(len(s)).tobytes() + np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_be_similar(mine: bytes, other: bytes, percent: int) -> bool:
+    """False only where the bitmaps prove that the sets differ in too many elements."""
+    n, m = int(np.frombuffer(mine, np.int64, 1)[0]), int(np.frombuffer(other, np.int64, 1)[0])
+    if min(n, m) * 100 < percent * max(n, m):
+        return False
+    x, y = np.frombuffer(mine, np.uint64, offset=8), np.frombuffer(other, np.uint64, offset=8)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _is_similar(mine: bytes, other: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(mine, dtype=_U), np.frombuffer(other, dtype=_U)
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _fetch(docs: DataFrame, members: DataFrame, wanted: DataFrame, make=np.ndarray.tobytes) -> DataFrame:
+    """(key, data): ``make`` of the shingle set of each wanted key, from one row of each."""
     reps = members.where("set_key <> 0").join(wanted.select(F.col("key").alias("set_key")), "set_key", "left_semi")
     ids = stored(reps.groupBy("set_key").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("id"))
                  .groupBy("id").agg(F.count("*").alias("n")), "wanted")
@@ -260,41 +288,36 @@ def _fetch(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([
-                pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array([set_key(s) for s in sets], pa.int64()), pa.array([make(s) for s in sets], pa.binary()),
             ], names=["key", "data"])
 
     found = rows.select("id", "text").mapInArrow(run, "key long, data binary").where("key <> 0")
     return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("data").alias("data"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar.
+def verify(pairs: DataFrame, data: DataFrame, percent: int, test=_is_similar) -> DataFrame:
+    """The pairs (a, b) that pass ``test`` on the ``data`` of both keys.
 
     Each a is dealt out in chunks of its partners, so that a set with very many
     partners is compared in many tasks; within a chunk rows stream past a's set.
     """
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = pairs.join(size, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")))
-    partner = dealt.join(sets.withColumnRenamed("key", "b"), "b").select("a", "chunk", "b", F.lit(1).alias("kind"), "data")
+    partner = dealt.join(data.withColumnRenamed("key", "b"), "b").select("a", "chunk", "b", F.lit(1).alias("kind"), "data")
     own = size.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    own = own.join(sets.withColumnRenamed("key", "a"), "a").select("a", "chunk", F.col("a").alias("b"), F.lit(0).alias("kind"), "data")
+    own = own.join(data.withColumnRenamed("key", "a"), "a").select("a", "chunk", F.col("a").alias("b"), F.lit(0).alias("kind"), "data")
 
     def run(batches: Batches) -> Batches:
-        current, mine = None, np.empty(0, _U)
+        current, mine = None, b""
         for batch in batches:
             a_list, b_list = [], []
-            for a, chunk, b, kind, data in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                s = np.frombuffer(data, dtype=_U)
+            for a, chunk, b, kind, other in zip(*[batch.column(i).to_pylist() for i in range(5)]):
                 if kind == 0:
-                    current, mine = (a, chunk), s
+                    current, mine = (a, chunk), other
                     continue
                 if current != (a, chunk):
                     raise ValueError("a pair without its first set")
-                if min(len(mine), len(s)) * 100 < percent * max(len(mine), len(s)):
-                    continue
-                at = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
-                both = int((mine[at] == s).sum())
-                if 100 * both >= percent * (len(mine) + len(s) - both):
+                if test(mine, other, percent):
                     a_list.append(a)
                     b_list.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_list, pa.int64()), pa.array(b_list, pa.int64())], names=["a", "b"])
@@ -340,13 +363,24 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     needy = stored(
         found.where("kind = 1").groupBy(F.col("a").alias("key"), F.col("b").alias("band"))
         .agg((F.min("slack") - F.sum("hot")).alias("slack")).where("slack < 0").select("key", "band"), "needy")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(needy.select("key")).distinct()
-    sets = stored(_fetch(docs, members, stored(wanted, "keys")), "sets")
+    def keys_of(*tables: DataFrame) -> DataFrame:
+        every = needy.select("key")
+        for t in tables:
+            every = every.unionByName(t.select(F.col("a").alias("key"))).unionByName(t.select(F.col("b").alias("key")))
+        return stored(every.distinct(), "keys")
+
+    def sifted(candidates: DataFrame) -> DataFrame:
+        return verify(candidates, bits, percent, _may_be_similar)
+
+    # Most pairs that share a signature share a passage only; bitmaps of a few bytes show it.
+    bits = stored(_fetch(docs, members, keys_of(pairs), parity_bits), "bits")
+    pairs = stored(sifted(pairs), "pairs")
+    sets = stored(_fetch(docs, members, keys_of(pairs)), "sets")
     again = stored(_needy_signatures(sets, needy, bands), "again")
 
     low = again.groupBy("sig").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1")
-    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(
-        again.join(low, "sig").where("a <> key").select("a", F.col("key").alias("b")).distinct())
+    hung = stored(again.join(low, "sig").where("a <> key").select("a", F.col("key").alias("b")).distinct(), "hung")
+    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(sifted(hung))
     links = stored(verify(stored(star.distinct(), "star"), sets, percent), "links")
     near = stored(components(links), "near")
 
@@ -360,6 +394,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     left = tagged.join(mixed, "sig", "left_semi")
     cross = left.select("sig", F.col("key").alias("a"), F.col("c").alias("ca")).join(
         left.select("sig", F.col("key").alias("b"), F.col("c").alias("cb")), "sig").where("a < b and ca <> cb").select("a", "b")
+    cross = sifted(stored(cross.distinct(), "cross"))
     more = stored(verify(stored(open_pairs.unionByName(cross).distinct(), "open"), sets, percent), "more")
     final = stored(components(links.unionByName(more)), "components")
 

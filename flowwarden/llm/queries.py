@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .jaccard_join import ngram_jaccard_components
+from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +17,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_ngram_jaccard,)}
-ORACLES: dict[str, str] = {}
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op3_best_fit_packing, op6_ngram_jaccard, op7_mix_sources,
+)}
+ORACLES: dict[str, str] = {"op7_mix_sources": mixing.ORACLE}

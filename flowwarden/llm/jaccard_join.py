@@ -295,7 +295,7 @@ def _fetch(docs: DataFrame, members: DataFrame, wanted: DataFrame, make=np.ndarr
     return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("data").alias("data"))
 
 
-def verify(pairs: DataFrame, data: DataFrame, percent: int, test=_is_similar) -> DataFrame:
+def verify(pairs: DataFrame, data: DataFrame, percent: int, test=_is_similar, key_type: str = "long", key_arrow=pa.int64()) -> DataFrame:
     """The pairs (a, b) that pass ``test`` on the ``data`` of both keys.
 
     Each a is dealt out in chunks of its partners, so that a set with very many
@@ -320,10 +320,10 @@ def verify(pairs: DataFrame, data: DataFrame, percent: int, test=_is_similar) ->
                 if test(mine, other, percent):
                     a_list.append(a)
                     b_list.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a_list, pa.int64()), pa.array(b_list, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a_list, key_arrow), pa.array(b_list, key_arrow)], names=["a", "b"])
 
     rows = own.unionByName(partner).repartition(shuffle_partitions(pairs.sparkSession), "a", "chunk")
-    return rows.sortWithinPartitions("a", "chunk", "kind").select("a", "chunk", "b", "kind", "data").mapInArrow(run, "a long, b long")
+    return rows.sortWithinPartitions("a", "chunk", "kind").select("a", "chunk", "b", "kind", "data").mapInArrow(run, f"a {key_type}, b {key_type}")
 
 
 def _needy_signatures(sets: DataFrame, needy: DataFrame, bands: Bands) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
 from .jaccard_join import ngram_jaccard_components
+from .line_dedup import dedup_lines
 from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -31,6 +37,6 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_best_fit_packing, op6_ngram_jaccard, op7_mix_sources,
+    op3_best_fit_packing, op5_line_dedup, op6_ngram_jaccard, op7_mix_sources,
 )}
 ORACLES: dict[str, str] = {"op7_mix_sources": mixing.ORACLE}

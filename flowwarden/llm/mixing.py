@@ -56,12 +56,12 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, epochs:
     ranked = ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * epochs).alias("limit"))
     by_level = [F.col("limit") / F.col("weight"), F.col("source").isNull(), F.col("source")]
     filled = stored(prefix_sums(ranked, by_level, ["limit", "weight"]), "levels")
-    total = filled.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
-    level = (F.col("total") - F.col("before_limit")).cast("double") / (F.col("weights") - F.col("before_weight"))
-    settled = (filled.crossJoin(F.broadcast(total)).select(level.alias("level"), (F.col("limit") / F.col("weight")).alias("most"))
-               .where("level <= most").agg(F.max("level").alias("level")))
-    target = F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight"))
-    return filled.crossJoin(F.broadcast(settled)).select("source", "source_size", target.alias("target"))
+    total = filled.agg(F.struct(F.sum("source_size").alias("size"), F.sum("weight").alias("weight"))).scalar()
+    level = (total["size"] - F.col("before_limit")).cast("double") / (total["weight"] - F.col("before_weight"))
+    settled = filled.select(level.alias("level"), (F.col("limit") / F.col("weight")).alias("most")).where("level <= most")
+    settled = stored(settled.agg(F.max("level").alias("level")), "level").scalar()
+    target = F.least(F.col("limit").cast("double"), settled * F.col("weight"))
+    return filled.select("source", "source_size", target.alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:

@@ -10,6 +10,7 @@ from . import mixing
 from .jaccard_join import ngram_jaccard_components
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +37,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_best_fit_packing, op5_line_dedup, op6_ngram_jaccard, op7_mix_sources,
+    op3_best_fit_packing, op5_line_dedup, op6_ngram_jaccard, op7_mix_sources, op9_toxicity,
 )}
 ORACLES: dict[str, str] = {"op7_mix_sources": mixing.ORACLE}

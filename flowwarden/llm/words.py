@@ -16,6 +16,8 @@ _BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything of ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,18 +41,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(base), np.cumprod(inverse)
 
 
-def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(
+    texts: Sequence[bytes], separators: np.ndarray = _SPACE, prefixes: Sequence[int] = ()
+) -> tuple[np.ndarray, ...]:
     """Word hashes in order, the number of each word's text, and each word's line number inside the batch.
 
     Lines are cut at ``\\n`` and numbered through the batch; text i starts at line ``first_lines(texts)[i]``.
+    ``separators`` says which bytes part words; it must include ``\\n``. For each n of ``prefixes`` follow the
+    hashes of the words' first n bytes.
     """
     buf = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
-    space = _SPACE[buf]
+    space = separators[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]
     out = np.empty(len(starts), dtype=np.uint64)
+    short = [np.empty(len(starts), dtype=np.uint64) for _ in prefixes]
     at = 0
     while at < len(starts):
         first = starts[at]
@@ -62,11 +69,14 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
         np.cumsum(_BYTE[buf[first:last]] * power[:n], out=sums[1:])
         s = starts[at:stop] - first
         out[at:stop] = (sums[ends[at:stop] - first] - sums[s]) * inverse[s]
+        for k, size in enumerate(prefixes):
+            e = np.minimum(ends[at:stop] - first, s + size)
+            short[k][at:stop] = (sums[e] - sums[s]) * inverse[s]
         at = stop
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     doc = np.searchsorted(np.cumsum(lengths), starts, "right")
     breaks = np.flatnonzero(buf == 0x0A)
-    return mix(out), doc, np.searchsorted(breaks, starts, "left")
+    return mix(out), doc, np.searchsorted(breaks, starts, "left"), *[mix(x) for x in short]
 
 
 def first_lines(texts: Sequence[bytes]) -> np.ndarray:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .fingerprints import compare_with_edits
 from .jaccard_join import ngram_jaccard_components
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .projection_search import nearest
 from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", "text")
@@ -37,12 +43,17 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_toxicity(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_best_fit_packing, op5_line_dedup, op6_ngram_jaccard, op7_mix_sources, op9_toxicity,
+    op3_best_fit_packing, op4_fingerprints, op5_line_dedup, op6_ngram_jaccard, op7_mix_sources,
+    op8_projection_search, op9_toxicity,
 )}
 ORACLES: dict[str, str] = {"op7_mix_sources": mixing.ORACLE}

@@ -9,9 +9,8 @@ smallest number of signatures that PartEnum allows.)
 
 Empty partitions and signatures of more than ``HOT`` different sets are not joined on.
 That loses no pair in which one side keeps more usable signatures than the pair may
-differ in. Sets that keep fewer go through a second round among themselves, where hot
-signatures are compared against their smallest member first and then only across
-components.
+differ in. Sets that keep fewer are compared among themselves in blocks, on bitmaps: first
+each with its smallest possible partner, then only across the components so found.
 """
 
 from __future__ import annotations
@@ -27,8 +26,9 @@ from .graph import components
 from .store import Batches, key_of_doc, session_of, shuffle_partitions, stored, text_of
 from .words import mix, shingle_sets, texts_of
 
-HOT = 64
+HOT = 16
 CHUNK = 2_000
+BLOCK = 4_096
 FEW_KEYS = 500_000
 _U = np.uint64
 
@@ -94,7 +94,7 @@ _PACKET = ("u4", "u2", "u2", "i8", "i2", "u1")
 _MARK = 0xFFFF
 
 
-def _emit(bands: Bands, parts: int):
+def _emit(bands: Bands, parts: int, most: int):
     def run(batches: Batches) -> Batches:
         seen: set[int] = set()
         for batch in batches:
@@ -112,10 +112,10 @@ def _emit(bands: Bands, parts: int):
             ordered = sig[order]
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             count = np.diff(np.append(first, len(ordered)))
-            crowded = np.repeat(count > HOT, count)
+            crowded = np.repeat(count > most, count)
             hot_entries = entry[order[crowded]]
             slack = slack - np.bincount(hot_entries, minlength=len(slack))
-            marks = ordered[first[count > HOT]]
+            marks = ordered[first[count > most]]
             sig = np.concatenate([ordered[~crowded], marks])
             entry = np.concatenate([entry[order[~crowded]], np.full(len(marks), -1)])
             # Entries whose every signature is crowded still have to report their slack.
@@ -162,8 +162,8 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low[new], high[new]
 
 
-def _meet(batches: Batches) -> Batches:
-    """All signatures of one partition: pairs from signatures of at most HOT sets, counts of hot ones per set."""
+def _meet(batches: Batches, most: int) -> Batches:
+    """All signatures of one partition: pairs from signatures of at most ``most`` sets, counts of hot ones per set."""
     sigs, entries, keys, slacks, bands, at = [], [], [], [], [], 0
     for batch in batches:
         for payload in batch.column(1).to_pylist():
@@ -200,7 +200,7 @@ def _meet(batches: Batches) -> Batches:
     count = np.diff(np.append(first, len(sig)))
     marked = np.zeros(len(first), dtype=bool)
     marked[np.searchsorted(first, np.flatnonzero(entry < 0), "right") - 1] = True
-    hot = marked | (count > HOT)
+    hot = marked | (count > most)
     of_hot = entry[np.repeat(hot, count)]
     times = np.bincount(of_hot[of_hot >= 0], minlength=len(key))
     told = np.flatnonzero((times > 0) | (slack < 0))
@@ -326,75 +326,102 @@ def verify(pairs: DataFrame, data: DataFrame, percent: int, test=_is_similar, ke
     return rows.sortWithinPartitions("a", "chunk", "kind").select("a", "chunk", "b", "kind", "data").mapInArrow(run, f"a {key_type}, b {key_type}")
 
 
-def _needy_signatures(sets: DataFrame, needy: DataFrame, bands: Bands) -> DataFrame:
-    """(sig, key) of the sets left with too few usable signatures, hot signatures included.
+def _compare_blocks(needy: DataFrame, bits: DataFrame, percent: int, first_only: bool) -> DataFrame:
+    """Pairs (a, b) of one band's needy sets (key, band, c) in different components c whose bitmaps allow similarity.
 
-    Sets with too few non-empty partitions add one signature per element.
+    Sets are dealt to blocks of about BLOCK by a hash, and each pair of blocks is compared in one task on
+    bitmaps; only pairs that pass become rows. With ``first_only`` each set and block pair gives its smallest
+    partner only.
     """
+    size = needy.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = needy.join(size, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = placed.join(bits, "key").withColumn("other", other).select(
+        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "c", "data")
+
+    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        sizes = np.array([int(np.frombuffer(r[3], np.int64, 1)[0]) for r in rows])
+        width = min(len(r[3]) - 8 for r in rows) // 8
+        grid = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[3], np.uint64, offset=8).reshape(-1, width), axis=0) for r in rows])
+        keys, block, c = (np.array([r[k] for r in rows]) for k in (1, 0, 2))
+        order = np.argsort(keys)
+        keys, block, c, sizes, grid = keys[order], block[order], c[order], sizes[order], grid[order]
+        mixed, found = block.min() != block.max(), np.zeros(len(keys), dtype=bool)
+        left, right = [], []
+        for i in range(len(keys) - 1):
+            open_ = (c[i + 1 :] != c[i]) & ~(found[i + 1 :] & first_only)
+            if mixed:
+                open_ &= block[i + 1 :] != block[i]
+            j = np.flatnonzero(open_) + i + 1
+            if not len(j):
+                continue
+            differ = np.bitwise_count(grid[j] ^ grid[i]).sum(axis=1, dtype=np.int64)
+            fine = differ * (100 + percent) <= (sizes[j] + sizes[i]) * (100 - percent)
+            fine &= np.minimum(sizes[j], sizes[i]) * 100 >= percent * np.maximum(sizes[j], sizes[i])
+            j = j[fine]
+            found[j] = True
+            left += [int(keys[i])] * len(j)
+            right += keys[j].tolist()
+        return left, right
 
     def run(batches: Batches) -> Batches:
+        current, group = None, []
         for batch in batches:
-            data = [np.frombuffer(x, dtype=_U) for x in batch.column(1).to_pylist()]
-            keys = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            wanted = [set(x) for x in batch.column(2).to_pylist()]
-            sig, entry, owner, band, slack = signatures(data, bands)
-            use = np.array([b in wanted[o] for o, b in zip(owner, band)], dtype=bool)
-            keep = use[entry]
-            out_sig, out_key = [sig[keep]], [keys[owner[entry[keep]]]]
-            for e in np.flatnonzero(use & (slack < 0)):
-                s = data[owner[e]]
-                out_sig.append(mix(s ^ mix(np.array([(int(band[e]) << 32) + 0xFFFFFFFF], dtype=_U))))
-                out_key.append(np.full(len(s), keys[owner[e]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_sig).view(np.int64)), pa.array(np.concatenate(out_key))], names=["sig", "key"])
-
-    per_key = needy.groupBy("key").agg(F.collect_set("band").alias("bands"))
-    return sets.join(per_key, "key").select("key", "data", "bands").mapInArrow(run, "sig long, key long")
-
-
-def _linked(docs: DataFrame, percent: int) -> DataFrame:
+            for band, low, high, block, key, c, data in zip(*[x.to_pylist() for x in batch.columns]):
+                if current != (band, low, high):
+                    if group:
+                        yield from out(group)
+                    current, group = (band, low, high), []
+                group.append((block, key, c, data))
+        if group:
+            yield from out(group)
+
+    def out(group) -> Batches:
+        left, right = compare(group)
+        for i in range(0, len(left), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(left[i : i + 100_000], pa.int64()), pa.array(right[i : i + 100_000], pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition(shuffle_partitions(needy.sparkSession), "band", "low", "high").sortWithinPartitions("band", "low", "high")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _linked(docs: DataFrame, percent: int, most: int = HOT) -> DataFrame:
     """The membership table with the component's smallest (doc_id, text_hash) as ``first``."""
     spark = session_of(docs)
     bands, parts = Bands(percent), shuffle_partitions(spark)
     members = stored(membership(docs), "members")
-    sent = docs.select(text_of(docs).alias("text")).mapInArrow(_emit(bands, parts), packets.SCHEMA)
-    found = stored(packets.exchange(sent, parts).mapInArrow(_meet, "kind int, a long, b long, slack int, hot long"), "found")
+    sent = docs.select(text_of(docs).alias("text")).mapInArrow(_emit(bands, parts, most), packets.SCHEMA)
+    found = packets.exchange(sent, parts).mapInArrow(lambda batches: _meet(batches, most), "kind int, a long, b long, slack int, hot long")
+    found = stored(found, "found")
     pairs = stored(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     needy = stored(
         found.where("kind = 1").groupBy(F.col("a").alias("key"), F.col("b").alias("band"))
         .agg((F.min("slack") - F.sum("hot")).alias("slack")).where("slack < 0").select("key", "band"), "needy")
+
     def keys_of(*tables: DataFrame) -> DataFrame:
-        every = needy.select("key")
+        every = needy.select("key").limit(0)
         for t in tables:
             every = every.unionByName(t.select(F.col("a").alias("key"))).unionByName(t.select(F.col("b").alias("key")))
-        return stored(every.distinct(), "keys")
+        return every
 
-    def sifted(candidates: DataFrame) -> DataFrame:
-        return verify(candidates, bits, percent, _may_be_similar)
+    def with_component(df: DataFrame, of: DataFrame, column: str, name: str) -> DataFrame:
+        joined = df.join(of.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left")
+        return joined.withColumn(name, F.coalesce(name, column))
 
     # Most pairs that share a signature share a passage only; bitmaps of a few bytes show it.
-    bits = stored(_fetch(docs, members, keys_of(pairs), parity_bits), "bits")
-    pairs = stored(sifted(pairs), "pairs")
-    sets = stored(_fetch(docs, members, keys_of(pairs)), "sets")
-    again = stored(_needy_signatures(sets, needy, bands), "again")
-
-    low = again.groupBy("sig").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1")
-    hung = stored(again.join(low, "sig").where("a <> key").select("a", F.col("key").alias("b")).distinct(), "hung")
-    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(sifted(hung))
+    wanted = stored(keys_of(pairs).unionByName(needy.select("key")).distinct(), "keys")
+    bits = stored(_fetch(docs, members, wanted, parity_bits), "bits")
+    pairs = stored(verify(pairs, bits, percent, _may_be_similar), "pairs")
+    near = stored(_compare_blocks(needy.withColumn("c", F.col("key")), bits, percent, True).distinct(), "near")
+
+    # First each set against its smallest partner, then what is left between components.
+    wanted = stored(keys_of(pairs, near).unionByName(needy.select("key")).distinct(), "keys")
+    sets = stored(_fetch(docs, members, wanted), "sets")
+    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(near)
     links = stored(verify(stored(star.distinct(), "star"), sets, percent), "links")
-    near = stored(components(links), "near")
-
-    def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
-        joined = df.join(near.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left")
-        return joined.withColumn(name, F.coalesce(name, column))
-
-    open_pairs = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    tagged = stored(labelled(again, "key", "c"), "tagged")
-    mixed = tagged.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    left = tagged.join(mixed, "sig", "left_semi")
-    cross = left.select("sig", F.col("key").alias("a"), F.col("c").alias("ca")).join(
-        left.select("sig", F.col("key").alias("b"), F.col("c").alias("cb")), "sig").where("a < b and ca <> cb").select("a", "b")
-    cross = sifted(stored(cross.distinct(), "cross"))
+    joined = stored(components(links), "joined")
+    open_pairs = with_component(with_component(pairs, joined, "a", "ca"), joined, "b", "cb").where("ca <> cb").select("a", "b")
+    cross = _compare_blocks(with_component(needy, joined, "key", "c"), bits, percent, False)
     more = stored(verify(stored(open_pairs.unionByName(cross).distinct(), "open"), sets, percent), "more")
     final = stored(components(links.unionByName(more)), "components")
 
@@ -408,7 +435,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     return of_key.join(lowest, "component").select(*rows).unionByName(alone.select(*rows))
 
 
-def ngram_jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, percent: int = 75, most: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (columns doc_id, text; others are ignored).
 
     Rows link when their sets of distinct 5-word shingles have a Jaccard similarity of
@@ -417,7 +444,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     a row. A NULL doc_id takes part, and is a component id only where no other row is
     linked. An empty table gives an empty result.
     """
-    return _linked(docs, percent).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+    return _linked(docs, percent, most).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -15,17 +15,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import packets
-from .jaccard_join import verify
+from .jaccard_join import CHUNK, _is_similar
 from .store import Batches, key_of_doc, session_of, shuffle_partitions, stored, text_of
 from .words import first_lines, mix, texts_of, word_hashes
 
 BUCKETS = 1 << 20
 FILTER_BITS = 1 << 22
-FIRST = 4
-FEW_LINES = 300_000
+FIRST = 2
+FEW_LINES = 1_500_000
 _SLICE = 1 << 14
 _LINE_BITS, _TEXT_BITS = 28, 35
 _U = np.uint64
@@ -68,13 +68,43 @@ def rarity_table(docs: DataFrame) -> np.ndarray:
     return table
 
 
+def _rank(words: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The place of each word in the order of rarity: its bucket's count, then its hash."""
+    return (rarity[_bucket(words)].astype(_U) << _U(45)) | (words >> _U(19))
+
+
+def _order(line: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Sorts by (line, rank) for lines that are already in order."""
+    if not len(line) or line[-1] - line[0] >= 1 << 22:
+        return np.lexsort((rank, line))
+    key = ((line - line[0]).astype(_U) << _U(42)) | (rank >> _U(22))
+    order = np.argsort(key)
+    key = key[order]
+    while len(swap := np.flatnonzero((key[1:] == key[:-1]) & (rank[order[1:]] < rank[order[:-1]]))):
+        swap = swap[np.concatenate([[True], np.diff(swap) > 1])]
+        order[swap], order[swap + 1] = order[swap + 1], order[swap].copy()
+    return order
+
+
 class Lines:
-    """The distinct word sets of the lines of a batch, tokens in order of rarity."""
+    """The distinct word sets of the lines of a batch, tokens in order of rarity (of hash without a table).
 
-    def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
+    With ``token_bits`` only lines that hold one of those tokens are kept; with ``wanted`` only those of these
+    batch-wide line numbers.
+    """
+
+    def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None, token_bits=None, wanted: np.ndarray | None = None):
         words, _, line = word_hashes(texts)
-        rank = words if rarity is None else (rarity[_bucket(words)].astype(_U) << _U(45)) | (words >> _U(19))
-        order = np.lexsort((rank, line))
+        if wanted is not None:
+            keep = np.isin(line, wanted)
+            words, line = words[keep], line[keep]
+        rank = words if rarity is None else _rank(words, rarity)
+        if token_bits is not None:
+            hit = np.zeros(int(line[-1]) + 1 if len(line) else 0, dtype=bool)
+            hit[line[token_bits[_bits(rank)]]] = True
+            keep = hit[line]
+            words, line, rank = words[keep], line[keep], rank[keep]
+        order = _order(line, rank)
         line, rank, words = line[order], rank[order], words[order]
         new = np.ones(len(line), dtype=bool)
         new[1:] = (line[1:] != line[:-1]) | (rank[1:] != rank[:-1])
@@ -110,7 +140,7 @@ def _emit(rarity, parts: int, percent: int, token_bits=None, line_bits=None):
     def run(batches: Batches) -> Batches:
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = Lines(texts_of(batch.column(2)), rarity.value)
+            found = Lines(texts_of(batch.column(2)), rarity.value, token_bits and token_bits.value)
             if not len(found.first):
                 continue
             at_id, at_mark = ids[found.doc], (keys[found.doc] << _LINE_BITS) | found.number
@@ -204,34 +234,42 @@ def _meet(percent: int, few: int | None):
         hi, lo, size, pos, wanted, parity, i, m = [np.concatenate(c) for c in zip(*entries)]
         entries.clear()
         token = (hi.astype(_U) << _U(16)) | lo
-        size, pos = size.astype(np.int64), pos.astype(np.int64)
-        order = np.lexsort((size, token))
+        # One order of lines by (size, hash) in all token groups: of a similar pair the first is met in its index prefix.
+        tie = mix(mix(i.astype(_U)) ^ m.astype(_U)) >> _U(16)
+        order = np.lexsort(((size.astype(_U) << _U(48)) | tie, token))
         token, size, pos, wanted, parity, i, m = [c[order] for c in (token, size, pos, wanted, parity, i, m)]
+        size, pos = size.astype(np.int32), pos.astype(np.int32)
         total = 100 + percent
         index = size - -(-size * 2 * percent // total) + 1
+        group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+        # Clipped sizes are alike: every longer line may follow them.
+        reach = np.where(size >= 0xFFFF * percent // 100, 0xFFFF, size * 100 // percent)
+        stop = np.searchsorted((group << 16) | size, (group << 16) | reach, "right")
+        begin = np.flatnonzero((pos < index) | (size >= 0xFFFF))
+        count = stop[begin] - begin - 1
+        begin, count = begin[count > 0], count[count > 0]
+        ends = np.cumsum(count)
         pairs: list[tuple] = []
-        held, step, active = 0, 0, np.arange(len(token))
-        while len(active):
-            step += 1
-            active = active[active + step < len(token)]
-            other = active + step
-            # Sorted by size: once the other is too long, all later ones are. Clipped sizes are only compared as such.
-            near = (token[other] == token[active]) & (100 * size[active] >= percent * size[other])
-            active = active[near]
-            other = active + step
-            a, b, pa_, pb = size[active], size[other], pos[active], pos[other]
-            need = -(-percent * (a + b) // total)
-            fine = (pa_ < index[active]) | ((a == b) & (pb < index[other]))
-            fine &= np.minimum(pa_, pb) + 1 + np.minimum(a - pa_, b - pb) - 1 >= need
+        held = at = 0
+        while at < len(begin):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+            n = count[at:upto]
+            s = np.repeat(begin[at:upto], n)
+            o = s + 1 + np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+            at = upto
+            fine = np.bitwise_count(parity[s] ^ parity[o]).astype(np.int32) * total <= (100 - percent) * (size[s] + size[o])
+            s, o = s[fine], o[fine]
+            a, b, p, q = size[s], size[o], pos[s], pos[o]
+            fine = np.minimum(p, q) + np.minimum(a - p, b - q) >= -(-percent * (a + b) // total)
             fine |= b >= 0xFFFF
-            fine &= np.bitwise_count(parity[active] ^ parity[other]).astype(np.int64) * total <= (100 - percent) * (a + b)
-            fine &= (i[active] != i[other]) | (m[active] != m[other])
-            s, o = active[fine], other[fine]
+            fine &= (i[s] != i[o]) | (m[s] != m[o])
+            s, o = s[fine], o[fine]
             later = (i[s] > i[o]) | ((i[s] == i[o]) & (m[s] > m[o]))
             y, x = np.where(later, s, o), np.where(later, o, s)
             y, x = y[wanted[y] > 0], x[wanted[y] > 0]
-            pairs.append(((i[y], m[y]), (i[x], m[x]), np.zeros(len(y), dtype=bool)))
-            held += len(y)
+            if len(y):
+                pairs.append(((i[y], m[y]), (i[x], m[x]), np.zeros(len(y), dtype=bool)))
+                held += len(y)
             if held > 3_000_000:
                 pairs = [_merged(pairs, few)]
                 held = len(pairs[0][2])
@@ -256,42 +294,63 @@ def _merged(pairs, few: int | None):
     return y, x, more
 
 
-_KEY = "struct<id:bigint,mark:bigint>"
-_KEY_ARROW = pa.struct([("id", pa.int64()), ("mark", pa.int64())])
-
-
 def _line_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, data): the sorted word hashes of each wanted line (id, mark)."""
+    """(tag, data) per wanted (id, mark, tag): the sorted word hashes of the line."""
     per_text = stored(
         wanted.groupBy("id", F.shiftright("mark", _LINE_BITS).alias("text_key"))
-        .agg(F.collect_set(F.col("mark").bitwiseAND((1 << _LINE_BITS) - 1)).alias("numbers")), "wanted")
-    few = per_text.agg(F.coalesce(F.sum(F.size("numbers") + 2), F.lit(0)).alias("n")).first()["n"] <= FEW_LINES
-    once = rows.join(F.broadcast(per_text) if few else per_text, ["id", "text_key"])
+        .agg(F.collect_list(F.struct(F.col("mark").bitwiseAND((1 << _LINE_BITS) - 1).alias("number"), "tag")).alias("lines")), "wanted")
+    few = per_text.agg(F.coalesce(F.sum(F.size("lines") + 2), F.lit(0)).alias("n")).first()["n"] <= FEW_LINES
+    joined = rows.join(F.broadcast(per_text) if few else per_text, ["id", "text_key"])
+    tag = wanted.schema["tag"].dataType
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            asked = [set(x) for x in batch.column(3).to_pylist()]
-            found = Lines(texts_of(batch.column(2)))
-            out_key, out_data = [], []
+            texts, asked = texts_of(batch.column(0)), batch.column(1)
+            lists = asked.flatten()
+            owner = np.repeat(np.arange(len(texts)), np.diff(asked.offsets.to_numpy()))
+            line = lists.field("number").to_numpy() + first_lines(texts)[owner]
+            found = Lines(texts, wanted=line)
             ends = np.append(found.first, len(found.words))
-            for k, (d, n) in enumerate(zip(found.doc.tolist(), found.number.tolist())):
-                if n in asked[d]:
-                    out_key.append({"id": ids[d], "mark": (keys[d] << _LINE_BITS) | n})
-                    out_data.append(found.words[ends[k] : ends[k + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_key, _KEY_ARROW), pa.array(out_data, pa.binary())], names=["key", "data"])
+            at = np.minimum(np.searchsorted(found.line, line), max(0, len(found.line) - 1))
+            there = np.flatnonzero(found.line[at] == line) if len(found.line) else np.empty(0, np.int64)
+            data = [found.words[ends[k] : ends[k + 1]].tobytes() for k in at[there]]
+            yield pa.RecordBatch.from_arrays([lists.field("tag").take(pa.array(there)), pa.array(data, pa.binary())], names=["tag", "data"])
 
-    words = once.select("id", "text_key", "text", "numbers").mapInArrow(run, f"key {_KEY}, data binary")
-    return words.groupBy("key").agg(F.first("data").alias("data"))
+    return joined.select("text", "lines").mapInArrow(run, f"tag {tag.simpleString()}, data binary")
 
 
 def _similar(rows: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """(id, mark) of the later lines of those candidate pairs that are similar."""
-    pairs = candidates.select(F.struct(F.col("id2").alias("id"), F.col("mark2").alias("mark")).alias("a"), F.struct("id", "mark").alias("b"))
-    pairs = stored(pairs.distinct(), "line_pairs")
-    wanted = pairs.select("a.id", "a.mark").unionByName(pairs.select("b.id", "b.mark")).distinct()
-    words = stored(_line_words(rows, wanted), "line_words")
-    return verify(pairs, words, percent, key_type=_KEY, key_arrow=_KEY_ARROW).select("b.id", "b.mark").distinct()
+    """(id, mark) of the later lines of those candidate pairs (id, mark, id2, mark2) that are similar.
+
+    The word sets of both lines are sent to the earlier line's task; earlier lines with very many
+    partners are dealt out in chunks.
+    """
+    pairs = stored(candidates.select("id", "mark", "id2", "mark2").distinct(), "line_pairs")
+    size = pairs.groupBy("id2", "mark2").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("id", "mark"), F.col("chunks")).cast("int").alias("chunk")
+    partner = pairs.join(size, ["id2", "mark2"]).select("id", "mark", F.struct("id2", "mark2", chunk, F.lit(1).alias("kind"), "id", "mark").alias("tag"))
+    own = size.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        F.col("id2").alias("id"), F.col("mark2").alias("mark"),
+        F.struct("id2", "mark2", "chunk", F.lit(0).alias("kind"), F.col("id2").alias("id"), F.col("mark2").alias("mark")).alias("tag"))
+    words = _line_words(rows, partner.unionByName(own)).select("tag.*", "data")
+    dealt = words.repartition(shuffle_partitions(rows.sparkSession), "id2", "mark2", "chunk").sortWithinPartitions("id2", "mark2", "chunk", "kind")
+
+    def run(batches: Batches) -> Batches:
+        current, mine = None, b""
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            id2, mark2, chunk, kind, i, m, data = (batch.column(k).to_pylist() for k in range(7))
+            for k in range(len(kind)):
+                if kind[k] == 0:
+                    current, mine = (id2[k], mark2[k], chunk[k]), data[k]
+                elif current != (id2[k], mark2[k], chunk[k]):
+                    raise ValueError("a pair without its first line")
+                elif _is_similar(mine, data[k], percent):
+                    found[0].append(i[k])
+                    found[1].append(m[k])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["id", "mark"])
+
+    return dealt.mapInArrow(run, "id long, mark long").distinct()
 
 
 def _bits_of_lines(lines: DataFrame, rows: DataFrame, rarity, percent: int):
@@ -307,11 +366,11 @@ def _bits_of_lines(lines: DataFrame, rows: DataFrame, rarity, percent: int):
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 words = np.frombuffer(data, dtype=_U)
-                rank = np.sort((rarity.value[_bucket(words)].astype(_U) << _U(45)) | (words >> _U(19)))
+                rank = np.sort(_rank(words, rarity.value))
                 n = len(rank)
                 yield pa.RecordBatch.from_arrays([pa.array(_bits(rank[: n - -(-n * percent // 100) + 1]))], names=["bit"])
 
-    words = _line_words(rows, positions)
+    words = _line_words(rows, positions.withColumn("tag", F.lit(0)))
     return (bit_filter(words.select("data").mapInArrow(of_tokens, "bit long")),
             bit_filter(positions.mapInArrow(of_positions, "bit long")))
 
@@ -325,8 +384,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, first: int = FIRST) -> Dat
     found = stored(packets.exchange(sent, parts).mapInArrow(_meet(percent, first), _FOUND_SQL), "found")
     equal = found.where("kind = 0").select("id", "mark")
     # Lines that equal an earlier one need no candidates.
-    candidates = found.where("kind = 1").join(equal.distinct(), ["id", "mark"], "left_anti")
-    candidates = stored(candidates.select("id", "mark", "id2", "mark2", "more"), "candidates")
+    candidates = found.where("kind = 1").join(equal, ["id", "mark"], "left_anti")
     similar = stored(_similar(rows, candidates, percent), "similar")
     unsettled = stored(candidates.where("more").select("id", "mark").distinct().join(similar, ["id", "mark"], "left_anti"), "unsettled")
     gone = equal.unionByName(similar)

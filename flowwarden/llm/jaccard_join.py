@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import packets
 from .graph import components
-from .store import Batches, key_of_doc, session_of, shuffle_partitions, stored, text_of
+from .store import Batches, key_of_doc, session_of, shuffle_partitions, stored, text_of, whole_row
 from .words import mix, shingle_sets, texts_of
 
 HOT = 16
@@ -247,9 +247,9 @@ def membership(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, set_key long, n_shingles long")
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """The set's size and a bitmap of at least twice as many bits, each the parity of the elements that fall on it."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+def parity_bits(s: np.ndarray, share: int = 2) -> bytes:
+    """The set's size and a bitmap of at least ``share`` times as many bits, each the parity of the elements on it."""
+    width = max(64, 1 << (share * len(s) - 1).bit_length())
     counts = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width)
     return np.int64(len(s)).tobytes() + np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -409,10 +409,11 @@ def _linked(docs: DataFrame, percent: int, most: int = HOT) -> DataFrame:
         return joined.withColumn(name, F.coalesce(name, column))
 
     # Most pairs that share a signature share a passage only; bitmaps of a few bytes show it.
-    wanted = stored(keys_of(pairs).unionByName(needy.select("key")).distinct(), "keys")
+    wanted = stored(keys_of(pairs).distinct(), "keys")
     bits = stored(_fetch(docs, members, wanted, parity_bits), "bits")
     pairs = stored(verify(pairs, bits, percent, _may_be_similar), "pairs")
-    near = stored(_compare_blocks(needy.withColumn("c", F.col("key")), bits, percent, True).distinct(), "near")
+    fine = stored(_fetch(docs, members, stored(needy.select("key").distinct(), "keys"), lambda s: parity_bits(s, 16)), "fine")
+    near = stored(_compare_blocks(needy.withColumn("c", F.col("key")), fine, percent, True).distinct(), "near")
 
     # First each set against its smallest partner, then what is left between components.
     wanted = stored(keys_of(pairs, near).unionByName(needy.select("key")).distinct(), "keys")
@@ -421,7 +422,7 @@ def _linked(docs: DataFrame, percent: int, most: int = HOT) -> DataFrame:
     links = stored(verify(stored(star.distinct(), "star"), sets, percent), "links")
     joined = stored(components(links), "joined")
     open_pairs = with_component(with_component(pairs, joined, "a", "ca"), joined, "b", "cb").where("ca <> cb").select("a", "b")
-    cross = _compare_blocks(with_component(needy, joined, "key", "c"), bits, percent, False)
+    cross = _compare_blocks(with_component(needy, joined, "key", "c"), fine, percent, False)
     more = stored(verify(stored(open_pairs.unionByName(cross).distinct(), "open"), sets, percent), "more")
     final = stored(components(links.unionByName(more)), "components")
 
@@ -456,7 +457,7 @@ def one_per_component(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = _linked(docs, percent)
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     keep = found.where((F.col("n_shingles") == 0) | (F.col("first") == mine) | ((F.col("doc_id").isNull()) & F.col("first.none") & (F.col("first.text_hash") == F.col("text_hash"))))
-    keep = stored(keep.select(key_of_doc().alias("_id"), F.col("text_hash").alias("_hash"), (F.col("n_shingles") == 0).alias("_all")).distinct(), "kept")
-    rows = docs.withColumns({"_id": key_of_doc(), "_hash": F.xxhash64(text_of(docs))}).join(keep, ["_id", "_hash"])
-    once = F.row_number().over(W.partitionBy("_id", "_hash").orderBy("_hash"))
-    return rows.withColumn("_n", once).where("_all or _n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = stored(keep.select(key_of_doc().alias("id"), "text_hash", (F.col("n_shingles") == 0).alias("all")).distinct(), "kept")
+    rows = docs.select(whole_row(docs), key_of_doc().alias("id"), F.xxhash64(text_of(docs)).alias("text_hash")).join(keep, ["id", "text_hash"])
+    once = F.row_number().over(W.partitionBy("id", "text_hash").orderBy("text_hash"))
+    return rows.withColumn("n", once).where(F.col("all") | (F.col("n") == 1)).select("row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import packets
 from .jaccard_join import CHUNK, _is_similar
-from .store import Batches, key_of_doc, session_of, shuffle_partitions, stored, text_of
+from .store import Batches, key_of_doc, session_of, shuffle_partitions, stored, text_of, whole_row
 from .words import first_lines, mix, texts_of, word_hashes
 
 BUCKETS = 1 << 20
@@ -408,13 +408,14 @@ def dedup_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     result.
     """
     gone = stored(removed_lines(docs, percent), "gone")
-    keyed = docs.drop("n_lines", "n_removed").withColumns({
-        "_id": key_of_doc(), "_key": F.pmod(F.xxhash64(text_of(docs)), F.lit(1 << _TEXT_BITS))})
-    joined = keyed.join(gone.withColumnsRenamed({"id": "_id", "text_key": "_key", "numbers": "_numbers"}), ["_id", "_key"], "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_numbers", i)), "\n")
+    keyed = docs.select(
+        whole_row(docs), key_of_doc().alias("id"), F.pmod(F.xxhash64(text_of(docs)), F.lit(1 << _TEXT_BITS)).alias("text_key"))
+    joined = keyed.join(gone, ["id", "text_key"], "left")
+    text = F.col("row.text")
+    lines = F.split(text, "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("numbers", i)), "\n")
+    cleaned = F.when(F.col("numbers").isNull(), text).otherwise(kept).alias("text")
     return joined.select(
-        *[F.when(F.col("_numbers").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`")
-          for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_numbers"), F.lit(0)).cast("long").alias("n_removed"))
+        *[cleaned if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_removed"))

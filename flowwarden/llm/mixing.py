@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .store import key_of_doc, shuffle_partitions, stored, text_of
+from .store import key_of_doc, shuffle_partitions, stored, text_of, whole_row
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -98,19 +98,19 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: i
     takes = mixed.groupBy(key_of_doc().alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source")).agg(
         F.sum("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
     takes = stored(takes, "takes")
-    rows = docs.withColumns({"_doc": key_of_doc(), "_text": F.xxhash64(text_of(docs))})
-    joined = rows.join(takes, (F.col("_doc") == F.col("_id")) & (F.col("_text") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source")))
+    rows = docs.select(whole_row(docs), key_of_doc().alias("doc"), F.xxhash64(text_of(docs)).alias("hash"), F.col("source").alias("of"))
+    joined = rows.join(takes, (F.col("doc") == F.col("_id")) & (F.col("hash") == F.col("_hash")) & F.col("of").eqNullSafe(F.col("_source")))
     once = F.row_number().over(W.partitionBy("_id", "_hash", "_source").orderBy("_hash"))
     copies = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))
-    out = joined.withColumn("_n", once).where("_n = 1").withColumn("_copy", F.explode(copies))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    words = F.slice(F.regexp_extract_all("text", F.lit(_LEADING), 0), F.lit(1), left.cast("int"))
+    out = joined.withColumn("n", once).where("n = 1").withColumn("copy", F.explode(copies))
+    left = F.col("_taken") - (F.col("copy") - 1) * F.col("_size")
+    words = F.slice(F.regexp_extract_all("row.text", F.lit(_LEADING), 0), F.lit(1), left.cast("int"))
     cut = left < F.col("_size")
-    changed = {"text": F.when(cut, F.array_join(words, "")).otherwise(F.col("text"))}
+    changed = {"text": F.when(cut, F.array_join(words, "")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(cut, F.length(changed["text"]).cast(kind)).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.when(cut, F.length(changed["text"]).cast(kind)).otherwise(F.col("row.n_chars"))
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

@@ -23,6 +23,7 @@ CAPACITY = 2048
 END = 0
 GROUP_PIECES = 50_000
 PATIENCE = 200
+PASSES = 3
 
 
 def tokenizer_path() -> str:
@@ -124,7 +125,7 @@ class _Search:
     """Local search over the underfull bins of one group."""
 
     def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int):
-        self.sizes, self.capacity = sizes, capacity
+        self.sizes, self.capacity, self.steps = sizes, capacity, 0
         self.bins = [list(b) for b in bins]
         self.gap = np.array([capacity - int(sizes[b].sum()) for b in self.bins])
         self.version = np.zeros(len(bins), dtype=np.int64)
@@ -150,6 +151,7 @@ class _Search:
         self.pair_version = self.version[self.pair_bin]
 
     def _put(self, item: int, to: int) -> None:
+        self.steps += 1
         k = self.place[item]
         source, s = int(self.bin[k]), int(self.size[k])
         self.bins[source].remove(item)
@@ -206,22 +208,24 @@ class _Search:
 
 
 def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, patience: int = PATIENCE) -> list[list[int]]:
-    """Fewer bins: the emptiest are taken apart one after the other; ends after ``patience`` that cannot be emptied."""
+    """Fewer bins: the emptiest are taken apart one after the other.
+
+    A pass ends after ``patience`` bins that cannot be emptied; their exchanges open gaps for the next pass.
+    """
     fills = np.array([int(sizes[b].sum()) for b in bins])
     full = [b for b, f in zip(bins, fills) if f == capacity]
     rest = [b for b, f in zip(bins, fills) if f < capacity]
-    search, failed, tried = _Search(rest, sizes, capacity), 0, set()
-    order = sorted(range(len(rest)), key=lambda b: -search.gap[b])
-    emptied = 0
-    for donor in order:
-        if failed >= patience or int(search.gap.sum()) - emptied * capacity < capacity:
+    search = _Search(rest, sizes, capacity)
+    for _ in range(PASSES):
+        failed, steps = 0, search.steps
+        for donor in sorted((b for b in range(len(rest)) if search.bins[b]), key=lambda b: -search.gap[b]):
+            spare = int(search.gap[[b for b in range(len(rest)) if search.bins[b]]].sum()) if failed % 50 == 0 else spare
+            if failed >= patience or spare < capacity:
+                break
+            failed += not search.empty(donor)
+        if search.steps == steps:
             break
-        if search.empty(donor):
-            emptied += 1
-            if emptied % 50 == 0:
-                search._index_pairs()
-        else:
-            failed += 1
+        search._index_pairs()
     return full + [b for b in search.bins if b]
 
 

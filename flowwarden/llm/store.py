@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 
 # Bounds for one Arrow batch, so that long texts do not fill a task's memory.
-_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -37,20 +37,12 @@ def text_of(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
-Batches = Iterator[pa.RecordBatch]
-
+def whole_row(df: DataFrame):
+    """All columns as the struct ``row``, so that their names cannot clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch."""
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
-
-    return df.mapInArrow(run, schema)
+Batches = Iterator[pa.RecordBatch]
 
 
 def key_of_doc(column: str = "doc_id"):

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import Batches, session_of, stored, text_of
+from .store import Batches, session_of, stored, text_of, whole_row
 from .words import PUNCTUATION, mix, word_hashes
 
 BUCKETS = 1 << 18
@@ -54,7 +54,7 @@ class Model:
         """The probability of the positive class of each text."""
         doc, bucket, times, words = features(texts, self.weights != 0)
         margin = np.bincount(doc, weights=self.weights[bucket] * np.log2(1 + times), minlength=len(texts))
-        margin += self.bias + self.length_weight * np.log2(1 + words)
+        margin = margin + self.bias + self.length_weight * np.log2(1 + words)
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
@@ -218,5 +218,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns are kept."""
     model = train(docs, labels)
-    scored = docs.withColumn("_toxicity", score_column(docs, model))
-    return scored.where(F.col("_toxicity") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = docs.select(whole_row(docs), score_column(docs, model).alias("score"))
+    return scored.where(F.col("score") < threshold).select("row.*")

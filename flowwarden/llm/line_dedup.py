@@ -370,7 +370,7 @@ def _bits_of_lines(lines: DataFrame, rows: DataFrame, rarity, percent: int):
                 n = len(rank)
                 yield pa.RecordBatch.from_arrays([pa.array(_bits(rank[: n - -(-n * percent // 100) + 1]))], names=["bit"])
 
-    words = _line_words(rows, positions.withColumn("tag", F.lit(0)))
+    words = stored(_line_words(rows, positions.withColumn("tag", F.lit(0))), "line_words")
     return (bit_filter(words.select("data").mapInArrow(of_tokens, "bit long")),
             bit_filter(positions.mapInArrow(of_positions, "bit long")))
 

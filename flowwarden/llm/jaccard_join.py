@@ -266,8 +266,8 @@ def _may_be_similar(mine: bytes, other: bytes, percent: int) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (n + m) * (100 - percent)
 
 
-def _is_similar(mine: bytes, other: bytes, percent: int) -> bool:
-    x, y = np.frombuffer(mine, dtype=_U), np.frombuffer(other, dtype=_U)
+def are_similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``percent``/100 or more."""
     if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
         return False
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
@@ -275,6 +275,10 @@ def _is_similar(mine: bytes, other: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _is_similar(mine: bytes, other: bytes, percent: int) -> bool:
+    return are_similar(np.frombuffer(mine, dtype=_U), np.frombuffer(other, dtype=_U), percent)
+
+
 def _fetch(docs: DataFrame, members: DataFrame, wanted: DataFrame, make=np.ndarray.tobytes) -> DataFrame:
     """(key, data): ``make`` of the shingle set of each wanted key, from one row of each."""
     reps = members.where("set_key <> 0").join(wanted.select(F.col("key").alias("set_key")), "set_key", "left_semi")

@@ -7,24 +7,25 @@ line (by doc_id, then text hash, then line number; itself kept or not) is simila
 
 Rarity is counted in a table of fixed size, so that it can be broadcast whatever the
 vocabulary; any order gives right results, a better one gives fewer candidates. Per line
-the earliest ``FIRST`` candidates are verified first, and all of them only for lines that
-those do not settle.
+the earliest candidate is verified first, and all of them only for lines that it does not
+settle.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import packets
-from .jaccard_join import CHUNK, _is_similar
+from .jaccard_join import CHUNK, are_similar
 from .store import Batches, key_of_doc, session_of, shuffle_partitions, stored, text_of, whole_row
 from .words import first_lines, mix, texts_of, word_hashes
 
 BUCKETS = 1 << 20
 FILTER_BITS = 1 << 22
-FIRST = 2
+FIRST = 1
 FEW_LINES = 1_500_000
 _SLICE = 1 << 14
 _LINE_BITS, _TEXT_BITS = 28, 35
@@ -122,6 +123,15 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return (mix(values) % _U(FILTER_BITS)).astype(np.int64)
 
 
+def _pair_bits(i: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return _bits(mix(i.astype(_U)) ^ m.astype(_U))
+
+
+def _bits_of_pairs(batches: Batches) -> Batches:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_pair_bits(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["bit"])
+
+
 def bit_filter(parts: DataFrame) -> np.ndarray:
     """The union of bit positions ``bit`` as a bitmap of ``FILTER_BITS`` bits."""
     out = np.zeros(FILTER_BITS, dtype=bool)
@@ -166,7 +176,7 @@ def _emit(rarity, parts: int, percent: int, token_bits=None, line_bits=None):
             keep = use[where] & (pos < prefix[where])
             wanted = np.ones(len(size), dtype=bool)
             if token_bits is not None:
-                wanted = line_bits.value[_bits(mix(at_id.astype(_U)) ^ at_mark.astype(_U))]
+                wanted = line_bits.value[_pair_bits(at_id, at_mark)]
                 keep &= token_bits.value[_bits(found.rank)]
             where, pos = where[keep], pos[keep]
             if len(where):
@@ -294,8 +304,20 @@ def _merged(pairs, few: int | None):
     return y, x, more
 
 
-def _line_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(tag, data) per wanted (id, mark, tag): the sorted word hashes of the line."""
+def _packed(words: np.ndarray) -> bytes:
+    """Sorted word hashes as five bytes each: enough to tell the words of two lines apart."""
+    short = np.unique(words >> _U(24)).astype("<u8")
+    return short.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _line_words(rows: DataFrame, wanted: DataFrame, form=_packed) -> DataFrame:
+    """(tag, data) per wanted (id, mark, tag): ``form`` of the line's sorted word hashes."""
     per_text = stored(
         wanted.groupBy("id", F.shiftright("mark", _LINE_BITS).alias("text_key"))
         .agg(F.collect_list(F.struct(F.col("mark").bitwiseAND((1 << _LINE_BITS) - 1).alias("number"), "tag")).alias("lines")), "wanted")
@@ -313,7 +335,7 @@ def _line_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             ends = np.append(found.first, len(found.words))
             at = np.minimum(np.searchsorted(found.line, line), max(0, len(found.line) - 1))
             there = np.flatnonzero(found.line[at] == line) if len(found.line) else np.empty(0, np.int64)
-            data = [found.words[ends[k] : ends[k + 1]].tobytes() for k in at[there]]
+            data = [form(found.words[ends[k] : ends[k + 1]]) for k in at[there]]
             yield pa.RecordBatch.from_arrays([lists.field("tag").take(pa.array(there)), pa.array(data, pa.binary())], names=["tag", "data"])
 
     return joined.select("text", "lines").mapInArrow(run, f"tag {tag.simpleString()}, data binary")
@@ -336,16 +358,16 @@ def _similar(rows: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     dealt = words.repartition(shuffle_partitions(rows.sparkSession), "id2", "mark2", "chunk").sortWithinPartitions("id2", "mark2", "chunk", "kind")
 
     def run(batches: Batches) -> Batches:
-        current, mine = None, b""
+        current, mine = None, np.empty(0, _U)
         for batch in batches:
             found: tuple[list, list] = ([], [])
             id2, mark2, chunk, kind, i, m, data = (batch.column(k).to_pylist() for k in range(7))
             for k in range(len(kind)):
                 if kind[k] == 0:
-                    current, mine = (id2[k], mark2[k], chunk[k]), data[k]
+                    current, mine = (id2[k], mark2[k], chunk[k]), _unpacked(data[k])
                 elif current != (id2[k], mark2[k], chunk[k]):
                     raise ValueError("a pair without its first line")
-                elif _is_similar(mine, data[k], percent):
+                elif are_similar(mine, _unpacked(data[k]), percent):
                     found[0].append(i[k])
                     found[1].append(m[k])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["id", "mark"])
@@ -357,11 +379,6 @@ def _bits_of_lines(lines: DataFrame, rows: DataFrame, rarity, percent: int):
     """Bit filters of the prefix tokens and of the positions of the given lines."""
     positions = lines.select("id", "mark")
 
-    def of_positions(batches: Batches) -> Batches:
-        for batch in batches:
-            i, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_bits(mix(i.astype(_U)) ^ m.astype(_U)))], names=["bit"])
-
     def of_tokens(batches: Batches) -> Batches:
         for batch in batches:
             for data in batch.column(0).to_pylist():
@@ -370,9 +387,9 @@ def _bits_of_lines(lines: DataFrame, rows: DataFrame, rarity, percent: int):
                 n = len(rank)
                 yield pa.RecordBatch.from_arrays([pa.array(_bits(rank[: n - -(-n * percent // 100) + 1]))], names=["bit"])
 
-    words = stored(_line_words(rows, positions.withColumn("tag", F.lit(0))), "line_words")
+    words = stored(_line_words(rows, positions.withColumn("tag", F.lit(0)), np.ndarray.tobytes), "line_words")
     return (bit_filter(words.select("data").mapInArrow(of_tokens, "bit long")),
-            bit_filter(positions.mapInArrow(of_positions, "bit long")))
+            bit_filter(positions.mapInArrow(_bits_of_pairs, "bit long")))
 
 
 def removed_lines(docs: DataFrame, percent: int = 75, first: int = FIRST) -> DataFrame:
@@ -383,16 +400,24 @@ def removed_lines(docs: DataFrame, percent: int = 75, first: int = FIRST) -> Dat
     sent = rows.mapInArrow(_emit(rarity, parts, percent), packets.SCHEMA)
     found = stored(packets.exchange(sent, parts).mapInArrow(_meet(percent, first), _FOUND_SQL), "found")
     equal = found.where("kind = 0").select("id", "mark")
-    # Lines that equal an earlier one need no candidates.
-    candidates = found.where("kind = 1").join(equal, ["id", "mark"], "left_anti")
-    similar = stored(_similar(rows, candidates, percent), "similar")
-    unsettled = stored(candidates.where("more").select("id", "mark").distinct().join(similar, ["id", "mark"], "left_anti"), "unsettled")
+    # Lines that equal an earlier one need no candidates; of the others each is held against its earliest one.
+    mine, x = ["id", "mark"], F.struct("id2", "mark2")
+    candidates = stored(
+        found.where("kind = 1").join(equal, mine, "left_anti").groupBy(*mine)
+        .agg(F.min(x).alias("x"), (F.max("more") | (F.min(x) != F.max(x))).alias("more")), "candidates")
+    similar = stored(_similar(rows, candidates.select(*mine, "x.*"), percent), "similar")
     gone = equal.unionByName(similar)
+    unsettled = stored(candidates.where("more").select(*mine).join(similar, mine, "left_anti"), "unsettled")
+    if unsettled.limit(1).count():
+        others = stored(_similar(rows, found.where("kind = 1").join(unsettled, mine, "left_semi"), percent), "similar")
+        gone = gone.unionByName(others)
+        cut = found.where("kind = 1 and more").select(*mine).distinct()
+        unsettled = stored(unsettled.join(cut, mine, "left_semi").join(others, mine, "left_anti"), "unsettled")
     if unsettled.limit(1).count():
         token_bits, line_bits = (spark.sparkContext.broadcast(b) for b in _bits_of_lines(unsettled, rows, rarity, percent))
         again = rows.mapInArrow(_emit(rarity, parts, percent, token_bits, line_bits), packets.SCHEMA)
         every = packets.exchange(again, parts).mapInArrow(_meet(percent, None), _FOUND_SQL)
-        gone = gone.unionByName(_similar(rows, every.join(unsettled, ["id", "mark"], "left_semi"), percent))
+        gone = gone.unionByName(_similar(rows, every.join(unsettled, mine, "left_semi"), percent))
     numbers = F.collect_set(F.col("mark").bitwiseAND((1 << _LINE_BITS) - 1).cast("int")).alias("numbers")
     return gone.distinct().groupBy("id", F.shiftright("mark", _LINE_BITS).alias("text_key")).agg(numbers)
 
@@ -407,10 +432,20 @@ def dedup_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     they are, whatever their names (``n_lines`` and ``n_removed`` are replaced). An empty table gives an empty
     result.
     """
+    spark = session_of(docs)
     gone = stored(removed_lines(docs, percent), "gone")
     keyed = docs.select(
         whole_row(docs), key_of_doc().alias("id"), F.pmod(F.xxhash64(text_of(docs)), F.lit(1 << _TEXT_BITS)).alias("text_key"))
-    joined = keyed.join(gone, ["id", "text_key"], "left")
+    # Texts that keep all lines need not travel: a bitmap of fixed size tells most of them.
+    changed = spark.sparkContext.broadcast(bit_filter(gone.select("id", "text_key").mapInArrow(_bits_of_pairs, "bit long")))
+
+    @F.pandas_udf("boolean")
+    def maybe_changed(i: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series(changed.value[_pair_bits(i.to_numpy(np.int64), k.to_numpy(np.int64))])
+
+    maybe = keyed.withColumn("maybe", maybe_changed("id", "text_key"))
+    still = maybe.where(~F.col("maybe")).withColumn("numbers", F.lit(None).cast("array<int>"))
+    joined = maybe.where("maybe").join(gone, ["id", "text_key"], "left").unionByName(still)
     text = F.col("row.text")
     lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("numbers", i)), "\n")

@@ -11,7 +11,7 @@ from ..plans.reports import stream_counters
 from ..session import scratch_path
 from ..sources.streams import read_flow_stream, write_alerts, write_stream
 from ..streaming.dedup import dedup_stream
-from ..streaming.jobs import assemble_stream, observed, score_stream
+from ..streaming.jobs import assemble_stream, counter_totals, score_stream, write_counters
 from .registry import query
 from .scoring import _ACTION_SQL, WITH_SCORED, scored_flows
 from .views import FLOWS_V, KEYS, PACKETS_V, WITH_FLOWS, WITH_PACKETS, as_features, flows, packets, table
@@ -190,13 +190,10 @@ def d02_stream(spark, sf_dir):
   count(*) FILTER (verdict = 'ANOMALY') AS anomaly, count(*) FILTER (verdict = 'BENIGN') AS benign, count(*) FILTER (len(fired) > 0) AS rule_hits,
   count(*) FILTER (source LIKE 'HEUR:%') AS rule_raised FROM scored""")
 def d04(spark, sf_dir):
-    """Counters observed on the stream, summed over its batches."""
-    scored = observed(score_stream(as_features(flow_stream(spark, sf_dir))))
-    run = write_stream(scored.select("verdict"), scratch_path(spark, "counted"), scratch_path(spark, "counted-state"))
-    run.awaitTermination()
-    rows = [p.observedMetrics["flow_counters"].asDict() for p in run.recentProgress if "flow_counters" in p.observedMetrics]
-    return spark.createDataFrame(rows).groupBy().agg(*[F.sum(c).alias(c) for c in (
-        "flows", "attack", "suspect", "anomaly", "benign", "rule_hits", "rule_raised")])
+    """Counters written per batch of the stream, summed over all batches."""
+    out = scratch_path(spark, "counted")
+    write_counters(score_stream(as_features(flow_stream(spark, sf_dir))), out, scratch_path(spark, "counted-state")).awaitTermination()
+    return counter_totals(spark.read.parquet(out))
 
 
 @query("d05_stream_assembly")

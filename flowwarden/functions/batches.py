@@ -21,16 +21,21 @@ def group_starts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
 
 
 def whole_groups(batches: Iterable[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Regroup sorted batches so that no key is spread over two frames; the open key is carried on."""
-    rest: pd.DataFrame | None = None
+    """Regroup sorted batches so that no key is spread over two frames.
+
+    The frames of the open key are kept in a list and put together once.
+    """
+    held: list[pd.DataFrame] = []
     for pdf in batches:
         if pdf.empty:
             continue
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
+        if held and len(group_starts(pd.concat([held[-1].iloc[-1:], pdf.iloc[:1]]), keys)) > 2:
+            yield pd.concat(held, ignore_index=True)
+            held = []
         last = int(group_starts(pdf, keys)[-2])
         if last:
-            yield pdf.iloc[:last].reset_index(drop=True)
-        rest = pdf.iloc[last:].reset_index(drop=True)
-    if rest is not None:
-        yield rest
+            yield pd.concat([*held, pdf.iloc[:last]], ignore_index=True)
+            held = []
+        held.append(pdf.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)

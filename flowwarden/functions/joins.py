@@ -10,6 +10,16 @@ BROADCAST_ROWS = 200_000
 SALTS = 64
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys of ``left`` are kept."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = None
+    for k in keys:
+        match = left[f"`{k}`"].eqNullSafe(renamed[f"`_right_{k}`"])
+        condition = match if condition is None else condition & match
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def join_lookup(
     df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -26,9 +36,4 @@ def join_lookup(
         side = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int"))
         right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         on, salted = [*keys, "_salt"], ["_salt"]
-    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
-    condition = None
-    for k in on:
-        match = side[f"`{k}`"].eqNullSafe(renamed[f"`_right_{k}`"])
-        condition = match if condition is None else condition & match
-    return side.join(renamed, condition, how).drop(*[f"_right_{k}" for k in on], *salted)
+    return null_safe_join(side, right, on, how).drop(*salted)

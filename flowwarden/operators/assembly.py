@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import DEFAULT
+from ..functions.joins import null_safe_join
 from .chains import chain_owner
 
 FLAGS = ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "CWR", "ECE")
@@ -52,7 +53,7 @@ def _with_last_seen(df: DataFrame, keys: Sequence[str], marks: dict[str, Column]
         marked.groupBy(*keys, "_slice").agg(*[F.max(f"_m_{n}").alias(f"_max_{n}") for n in names])
         .select(*keys, "_slice", *[F.last(f"_max_{n}", True).over(earlier).alias(f"_carry_{n}") for n in names])
     )
-    joined = inside.join(carried, [*keys, "_slice"])
+    joined = null_safe_join(inside, carried, [*keys, "_slice"])
     return joined.withColumns({n: F.coalesce(F.col(f"_in_{n}"), F.col(f"_carry_{n}")) for n in names}).drop(
         *[f"{p}{n}" for n in names for p in ("_m_", "_in_", "_carry_")]
     )
@@ -73,9 +74,9 @@ def _with_flow_start(
     # the active cap concerns only sessions that last as long as the cap
     owners = [*keys, "_session"]
     longest = sessions.groupBy(*owners).agg(F.max("_t").alias("_end")).filter(F.col("_end") - F.col("_session") >= active_ms).drop("_end")
-    events = sessions.join(longest, owners, "left_semi").select(*owners, "_t", F.lit(1).cast("bigint").alias("_n"))
+    events = null_safe_join(sessions, longest, owners).select(*owners, "_t", F.lit(1).cast("bigint").alias("_n"))
     capped = chain_owner(events, owners, active_ms)
-    return sessions.join(capped, [*owners, "_t"], "left").withColumn("_flow", F.coalesce("_start", "_session")).drop("_start")
+    return null_safe_join(sessions, capped, [*owners, "_t"], "left").withColumn("_flow", F.coalesce("_start", "_session")).drop("_start")
 
 
 def _deviation(n: Column, total: Column, squares: Column) -> Column:

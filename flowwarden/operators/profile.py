@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.numeric import col, divide_or_null, finite_or_null
@@ -13,8 +13,6 @@ from ..functions.prefix import exact_percentiles, sketch_percentiles
 from ..schema import BENIGN, LABEL
 from ..session import materialise
 
-MAX_NATIVE_PAIRS_COLUMNS = 6
-
 
 def column_report(
     df: DataFrame, columns: Sequence[str], measures: Mapping[str, Callable[[Column], Column]], name: str = "column_name"
@@ -194,43 +192,43 @@ def drop_constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # ---- correlation
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of all column pairs i <= j in one aggregation; NULL where a column is constant."""
-    one = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    moments = one.agg(
-        *[F.stddev_pop(f"c{i}").alias(f"s{i}") for i in range(len(columns))],
-        *[F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in pairs],
-    )
-    rows = [
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[i]).alias("feat_a"), F.lit(columns[j]).alias("feat_b"),
-            divide_or_null(F.col(f"v{i}_{j}"), F.col(f"s{i}") * F.col(f"s{j}")).alias("r"),
-        )
-        for i, j in pairs
-    ]
-    return moments.select(F.inline(F.array(*rows)))
+def _pair_sums(shift: list[float]):
+    """Per batch the sums that the correlation of each column pair needs, over rows where both have a value."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            valid = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.float64)
+            x = np.stack([c.fill_null(s).to_numpy(zero_copy_only=False) for c, s in zip(batch.columns, shift)], axis=1) - np.array(shift)
+            sums = np.stack([valid.T @ valid, x.T @ valid, valid.T @ x, (x * x).T @ valid, valid.T @ (x * x), x.T @ x])
+            total = sums if total is None else total + sums
+        if total is not None:
+            i, j = np.triu_indices(total.shape[1])
+            columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", *_SUMS])
 
+    return run
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The same long table for wide schemas, from one distributed Gram matrix.
 
-    The matrix has 1.0 on the diagonal of a constant column too, so constants are looked up.
-    """
-    constant = set(constant_columns(df, columns))
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(
-        df.select(*[col(c).cast("double").alias(c) for c in columns])
-    )
-    matrix = Correlation.corr(vectors, "_v").head()[0].toArray()
-    rows = [
-        (i, j, columns[i], columns[j], None if constant & {columns[i], columns[j]} else float(matrix[i, j]))
-        for i in range(len(columns)) for j in range(i, len(columns))
-    ]
-    return df.sparkSession.createDataFrame(rows, "i int, j int, feat_a string, feat_b string, r double")
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return (correlation_pairs if len(columns) <= MAX_NATIVE_PAIRS_COLUMNS else correlation_matrix)(df, columns)
+    """Pearson r of all column pairs i <= j, for any number of columns, in one pass over the rows.
+
+    Each pair uses the rows where both values are there; r is NULL where one of them is constant in those rows.
+    Values are taken relative to the column's minimum, so that constants give exact zeros.
+    """
+    one = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    low = one.agg(*[F.min(c).alias(c) for c in one.columns]).first()
+    shift = [0.0 if x is None or x != x or abs(x) == float("inf") else float(x) for x in low]
+    schema = "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)
+    summed = one.mapInArrow(_pair_sums(shift), schema).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    n, sx, sy, sxx, syy, sxy = (F.col(s) for s in _SUMS)
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    r = F.when((n > 0) & ~(vx <= 1e-12 * sxx) & ~(vy <= 1e-12 * syy), (sxy - sx * sy / n) / F.sqrt(vx * vy))
+    name = F.array(*[F.lit(c) for c in columns])
+    safe = summed.withColumn("n", F.when(n > 0, n))
+    return safe.select("i", "j", name[F.col("i")].alias("feat_a"), name[F.col("j")].alias("feat_b"), r.alias("r"))
 
 
 def high_correlations(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -56,7 +56,7 @@ def _nonzero_int(df: DataFrame, meta: str, feature: str, default: int) -> Column
     found = []
     for name in (meta, feature):
         if name in df.columns:
-            value = finite_column(df, name).cast("int")
+            value = finite_column(df, name).try_cast("int")
             found.append(F.when(value != 0, value))
     return F.coalesce(*found, F.lit(default))
 
@@ -126,7 +126,7 @@ def built_in_rules(cfg: DetectionConfig = DEFAULT) -> list[Rule]:
     packet_size, byte_rate, packet_rate = c("in_packet_size"), c("in_byte_rate"), c("in_packet_rate")
 
     def whole(x: Column) -> Column:
-        return x.cast("bigint")
+        return F.coalesce(x.try_cast("bigint"), F.lit(0))
 
     return [
         Rule(

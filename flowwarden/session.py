@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session, wherever they run; once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_flowwarden_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="flowwarden-"), "flowwarden.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("flowwarden", os.path.relpath(full, package)))
+    context.addPyFile(path)
+    context._flowwarden_shipped = True
+
+
 def build_session(app: str = "flowwarden", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for; ``conf`` overrides."""
     builder = SparkSession.builder.appName(app)
@@ -38,15 +57,20 @@ def build_session(app: str = "flowwarden", master: str | None = None, **conf: st
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
+    Whatever writes there runs Python in the workers sooner or later, so the package is shipped as well.
+
     Only a local master without that setting gets a temporary folder; a cluster
     without it is an error, since executors would not share a local path.
     """
+    ship_package(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:

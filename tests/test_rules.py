@@ -39,28 +39,28 @@ def test_schema():
     assert len(METER_COLUMNS) == 61 and set(METER_COLUMNS) < set(FEATURES)
 
 
-def test_golden_flows(spark):
+def test_one_flow_per_rule(spark):
+    """Each flow is built from the definition of one rule, well inside its thresholds, and fires no other."""
     got = run(spark, [
-        ("scan", f(syn=10, fwd=10, bwd=1, fb=60), 22, 6),
-        ("password", f(syn=20, fwd=25, bwd=5, fb=800, bb=200), 21, 6),
-        ("slow", f(dur=30_000_000, fwd=8, bwd=4, fb=300, bb=100), 80, 6),
-        ("udp", f(fwd=5, fb=5), 12345, 17),
-        ("inject", f(fwd=40, bwd=20, psh=38, fb=4000, bb=2000), 80, 6),
-        ("ping", f(fwd=4, bwd=4), 0, 1),
-        ("pingflood", f(fwd=500, bwd=500), 0, 1),
-        ("web", f(dur=200_000, fwd=10, bwd=8, fb=5000, bb=20000, psh=4, fin=2), 80, 6),
+        ("many logins", f(syn=12, fwd=33, bwd=17, fb=2_600, bb=900), 3389, 6),
+        ("held open", f(dur=55_000_000, fwd=11, bwd=9, fb=700, bb=450), 8080, 6),
+        ("half open", f(syn=60, fwd=61, fb=90_000), 5000, 6),
+        ("knocking", f(syn=7, fwd=3, bwd=9, fb=100, bb=50), 5000, 6),
+        ("echo storm", f(fwd=340, bwd=120, fb=9_000), 0, 1),
+        ("blank datagrams", f(fwd=3), 40_000, 17),
+        ("urgent crawl", f(dur=2_000_000, fwd=70, bwd=30, urg=21, fb=50_000, bb=90_000), 443, 6),
+        ("pushed forms", f(fwd=21, bwd=9, psh=24, fb=8_000, bb=7_000), 8080, 6),
+        ("idle knock", f(dur=4_000_000, fwd=2, bwd=1, fb=90, bb=60), 443, 6),
+        ("page view", f(dur=640_000, fwd=14, bwd=23, fb=3_100, bb=61_000, psh=7, fin=2), 443, 6),
+        ("two echoes", f(fwd=2, bwd=2), 0, 1),
     ])
-    brute = "HEUR:_rule_brute_force"
-    assert got == {
-        "scan": ("ATTACK", brute, ["_rule_brute_force", "_rule_syn_flood"]),
-        "password": ("ATTACK", brute, ["_rule_brute_force"]),
-        "slow": ("ATTACK", "HEUR:_rule_slowloris", ["_rule_slowloris"]),
-        "udp": ("SUSPECT", "HEUR:_rule_empty_udp_probe", ["_rule_empty_udp_probe"]),
-        "inject": ("SUSPECT", "HEUR:_rule_injection_tool", ["_rule_injection_tool"]),
-        "ping": ("BENIGN", "RF+AE", []),
-        "pingflood": ("SUSPECT", "HEUR:_rule_icmp_flood", ["_rule_icmp_flood"]),
-        "web": ("BENIGN", "RF+AE", []),
+    one = {
+        "many logins": ("ATTACK", "brute_force"), "held open": ("ATTACK", "slowloris"), "half open": ("SUSPECT", "syn_flood"),
+        "knocking": ("SUSPECT", "portscan"), "echo storm": ("SUSPECT", "icmp_flood"), "blank datagrams": ("SUSPECT", "empty_udp_probe"),
+        "urgent crawl": ("SUSPECT", "web_scanner"), "pushed forms": ("SUSPECT", "injection_tool"), "idle knock": ("SUSPECT", "http_probe"),
     }
+    want = {name: (verdict, f"HEUR:_rule_{rule}", [f"_rule_{rule}"]) for name, (verdict, rule) in one.items()}
+    assert got == {**want, "page view": ("BENIGN", "RF+AE", []), "two echoes": ("BENIGN", "RF+AE", [])}
 
 
 def test_boundaries(spark):
@@ -97,7 +97,7 @@ def test_boundaries(spark):
 
 def test_aliases_and_bad_numbers(spark):
     raw = ("bidirectional_syn_packets", "src2dst_packets", "dst2src_packets", "src2dst_bytes", "dst2src_bytes")
-    row = dict(zip(raw, (20, 25, 5, 800, 200)))
+    row = dict(zip(raw, (31, 44, 12, 1_500, 640)))
     assert run(spark, [("raw", row, 21, 6)], raw)["raw"][0] == "ATTACK"
     both = ("SYN Flag Cnt", *raw)
     assert run(spark, [("nan", {**row, "SYN Flag Cnt": float("nan")}, 21, 6)], both)["nan"][0] == "ATTACK"

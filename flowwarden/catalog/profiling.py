@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cleaning import force_numeric
 from ..operators.profile import (
-    class_counts, class_weights, column_report, correlation_matrix, correlations, describe, distinct_counts,
+    class_counts, class_weights, column_report, correlations, describe, distinct_counts,
     drop_constant_columns, high_correlations, low_cardinality_columns, mean_ratio, missing_profile, missing_totals,
     outlier_profile, pruned_features, pruning_summary, redundant_columns, sampling_projection, text_profile, top_rows,
     top_variance, type_counts,
@@ -165,7 +165,7 @@ def _pos(df, c):
 
 @query("a09_correlation_wide", f"{_CORR_VIEW}, r AS ({_corr_sql()}) SELECT i, j, feat_a, feat_b, round(r, 6) + 0.0 AS r FROM r WHERE feat_a <> 'one' AND feat_b <> 'one'")
 def a09_wide(spark, sf_dir):
-    return _pos(correlation_matrix(_corr_frame(spark, sf_dir), [c for c in _CORR if c != "one"]), "r")
+    return _pos(correlations(_corr_frame(spark, sf_dir), [c for c in _CORR if c != "one"]), "r")
 
 
 _HIGH = f"""{_CORR_VIEW}, r AS ({_corr_sql()}),

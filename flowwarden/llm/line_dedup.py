@@ -140,7 +140,7 @@ def bit_filter(parts: DataFrame) -> np.ndarray:
     return out
 
 
-_ENTRY = ("u4", "u2", "u2", "u2", "u1", "u8", "i8", "i8")
+_ENTRY = ("u4", "u1", "u2", "u2", "u1", "u8", "u8", "i8", "i8")
 _OCCURRENCE = ("u8", "i8", "i8", "u1")
 
 
@@ -168,7 +168,9 @@ def _emit(rarity, parts: int, percent: int, token_bits=None, line_bits=None):
                     rows.append((p, b"\1" + packets.pack(columns)))
             size = found.size
             prefix = size - -(-size * percent // 100) + 1
-            parity = np.bitwise_xor.reduceat(_U(1) << (found.words & _U(63)), found.first)
+            # 128 parity bits of the set: the more of them differ, the more the sets do.
+            bit, upper = _U(1) << (found.words & _U(63)), (found.words & _U(64)) > 0
+            parity = [np.bitwise_xor.reduceat(np.where(upper == half, bit, _U(0)), found.first) for half in (False, True)]
             # Sets of one or two words are similar only where they are equal.
             use = earliest & (size >= 3)
             where = np.repeat(np.arange(len(size)), size)
@@ -183,9 +185,9 @@ def _emit(rarity, parts: int, percent: int, token_bits=None, line_bits=None):
                 token = mix(found.rank[keep])
                 rest = token // _U(parts)
                 columns = [
-                    (rest >> _U(16)).astype(np.uint32), (rest & _U(0xFFFF)).astype(np.uint16),
+                    (rest >> _U(8)).astype(np.uint32), (rest & _U(0xFF)).astype(np.uint8),
                     np.minimum(size[where], 0xFFFF).astype(np.uint16), np.minimum(pos, 0xFFFF).astype(np.uint16),
-                    wanted[where].astype(np.uint8), parity[where], at_id[where], at_mark[where],
+                    wanted[where].astype(np.uint8), parity[0][where], parity[1][where], at_id[where], at_mark[where],
                 ]
                 for p, dealt in packets.split_rows((token % _U(parts)).astype(np.int64), columns, parts):
                     rows.append((p, b"\0" + packets.pack(dealt)))
@@ -241,13 +243,13 @@ def _meet(percent: int, few: int | None):
             yield from _found(0, (i[out], m[out]), (i[out], m[out]), np.zeros(len(out), dtype=bool))
         if not entries:
             return
-        hi, lo, size, pos, wanted, parity, i, m = [np.concatenate(c) for c in zip(*entries)]
+        hi, lo, size, pos, wanted, parity, upper, i, m = [np.concatenate(c) for c in zip(*entries)]
         entries.clear()
-        token = (hi.astype(_U) << _U(16)) | lo
+        token = (hi.astype(_U) << _U(8)) | lo
         # One order of lines by (size, hash) in all token groups: of a similar pair the first is met in its index prefix.
         tie = mix(mix(i.astype(_U)) ^ m.astype(_U)) >> _U(16)
         order = np.lexsort(((size.astype(_U) << _U(48)) | tie, token))
-        token, size, pos, wanted, parity, i, m = [c[order] for c in (token, size, pos, wanted, parity, i, m)]
+        token, size, pos, wanted, parity, upper, i, m = [c[order] for c in (token, size, pos, wanted, parity, upper, i, m)]
         size, pos = size.astype(np.int32), pos.astype(np.int32)
         total = 100 + percent
         index = size - -(-size * 2 * percent // total) + 1
@@ -267,7 +269,11 @@ def _meet(percent: int, few: int | None):
             s = np.repeat(begin[at:upto], n)
             o = s + 1 + np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
             at = upto
-            fine = np.bitwise_count(parity[s] ^ parity[o]).astype(np.int32) * total <= (100 - percent) * (size[s] + size[o])
+            most = (100 - percent) * (size[s] + size[o])
+            differ = np.bitwise_count(parity[s] ^ parity[o]).astype(np.int32)
+            fine = differ * total <= most
+            s, o, differ, most = s[fine], o[fine], differ[fine], most[fine]
+            fine = (differ + np.bitwise_count(upper[s] ^ upper[o])) * total <= most
             s, o = s[fine], o[fine]
             a, b, p, q = size[s], size[o], pos[s], pos[o]
             fine = np.minimum(p, q) + np.minimum(a - p, b - q) >= -(-percent * (a + b) // total)

@@ -170,8 +170,8 @@ class Grammars:
 def learn(docs: DataFrame, examples: int = EXAMPLES, background_docs: int = BACKGROUND_DOCS) -> Grammars:
     """Grammars from at most ``examples`` distinct base values of each kind (those with the smallest hashes).
 
-    Ordinary text is how often each character follows each class of character in a hash sample of about
-    ``background_docs`` documents.
+    Ordinary text is how often each character follows each class of character outside base spans in a hash sample
+    of about ``background_docs`` documents.
     """
     session_of(docs)
 
@@ -196,7 +196,10 @@ def learn(docs: DataFrame, examples: int = EXAMPLES, background_docs: int = BACK
         total: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total.update(_steps(text))
+                at = 0
+                for start, end, *_ in [*base_spans(text), (len(text), len(text))]:
+                    total.update(_steps(text[at:start]))
+                    at = max(at, end)
         found = [(p, c, n) for (p, c), n in total.items() if c < "\x80"]
         if found:
             p, c, n = zip(*found)

@@ -191,7 +191,7 @@ def test_secret_spans(spark):
     assert (first.n_assign, first.n_access, first.n_hex) == (1, 0, 1) and first.spans == "assign:18:67,hex:27:67"
     assert first.base_sha256 == hashlib.sha256(first.spans.encode()).hexdigest()
     assert by[100][0].spans == by[101][0].spans == "" and by[100][0].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert sorted(r.spans for r in by[102]) == ["access:9:29", "assign:53:69"]
+    assert sorted(r.spans for r in by[102]) == ["access:9:29", "assign:50:65"]
     assert by[None][0].spans == "" and by[103][0].spans == "assign:100000:100013"
     assert by[104][0].spans == "inferred:5:28" and by[104][0].n_hex == 0
     assert sec.scan_secrets(spark.createDataFrame([], DOCS)).count() == 0

@@ -2,12 +2,13 @@
 
 A k-mer of code points is an anchor if the smallest of its s-mers is the first or the last one.
 That depends on the k-mer alone, so equal passages have equal anchors whatever stands around
-them. A fingerprint keeps the anchors with the smallest hashes, each with the place where it
-first occurs, for set likeness and for matching passages by position.
+them. A fingerprint keeps every anchor of a text with its place, for set likeness and for matching
+passages by position, so it grows with the text.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Sequence
 from functools import lru_cache
@@ -21,10 +22,9 @@ from .store import Batches, key_of_doc, session_of, shuffle_partitions, text_of
 from .words import mix
 
 K, S = 16, 8
-ANCHORS = 128
 _BASE = 0xD1342543DE82EF95
 _SEGMENT = 1 << 19
-_HASH_BITS = 48
+_HASH_BITS, _GAP_BITS = 48, 16
 _U = np.uint64
 
 
@@ -56,7 +56,7 @@ def _anchors_of(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarr
 
 
 def anchors(texts: Sequence[str], k: int = K, s: int = S) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, places) of each text's closed syncmers: distinct hashes in rising order, each with its first place.
+    """(hashes, places) of each text's closed syncmers, all of them in the order of their places.
 
     A text of fewer than k code points has itself as its one anchor; an empty text has none.
     """
@@ -81,42 +81,46 @@ def anchors(texts: Sequence[str], k: int = K, s: int = S) -> list[tuple[np.ndarr
             digest = hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest()
             out.append((np.array([int.from_bytes(digest) >> (64 - _HASH_BITS)], dtype=_U), np.zeros(1, np.int64)))
         else:
-            distinct, first_at = np.unique(value[a:b], return_index=True)
-            out.append((distinct, place[a:b][first_at] - start))
+            out.append((value[a:b], place[a:b] - start))
     return out
 
 
-def encode(found: tuple[np.ndarray, np.ndarray], size: int = ANCHORS) -> str:
-    """``hash@place`` of the anchors with the ``size`` smallest hashes, comma-joined."""
-    return ",".join(f"{h:012x}@{p}" for h, p in zip(found[0][:size].tolist(), found[1][:size].tolist()))
+def encode(found: tuple[np.ndarray, np.ndarray]) -> str:
+    """Base64 of one little-endian 64-bit word per anchor: its hash (high 48 bits) and its distance from the anchor before.
+
+    Of k - s + 1 successive k-mers one at least is an anchor, so the distances are small.
+    """
+    gaps = np.diff(found[1], prepend=0)
+    if len(gaps) and gaps.max() >> _GAP_BITS:
+        raise ValueError("anchors too far apart")
+    return base64.b64encode((found[0] << _U(_GAP_BITS) | gaps.astype(_U)).astype("<u8").tobytes()).decode("ascii")
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [x.split("@") for x in fingerprint.split(",")] if fingerprint else []
-    return np.array([int(h, 16) for h, _ in pairs], dtype=_U), np.array([int(p) for _, p in pairs], dtype=np.int64)
+    words = np.frombuffer(base64.b64decode(fingerprint), dtype="<u8").astype(_U)
+    return words >> _U(_GAP_BITS), np.cumsum((words & _U((1 << _GAP_BITS) - 1)).astype(np.int64))
 
 
-def _likeness(a: np.ndarray, b: np.ndarray, size: int) -> float:
+def _likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Likeness of two sets of hashes (distinct)."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    lowest = np.union1d(a, b)[:size]
-    both = len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), lowest, assume_unique=True))
-    return 2 * both / (len(lowest) + both)
+    return 2 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b))
 
 
-def likeness(a: str, b: str, size: int = ANCHORS) -> float:
-    """The share of anchors that two texts have in common (2 |A and B| / (|A| + |B|)), estimated from fingerprints.
-
-    Exact while both texts have at most ``size`` anchors; 1 for two empty texts, 0 for one.
-    """
-    return _likeness(decode(a)[0], decode(b)[0], size)
+def likeness(a: str, b: str) -> float:
+    """The share of distinct anchors that two texts have in common, 2 |A and B| / (|A| + |B|); 1 for two empty texts, 0 for one."""
+    return _likeness(np.unique(decode(a)[0]), np.unique(decode(b)[0]))
 
 
 def matches(a: str, b: str) -> list[tuple[int, int]]:
-    """Places (in a, in b) of the anchors that both fingerprints hold, by place in a."""
+    """Places (in a, in b) of all pairs of equal anchors, in order."""
     (ha, pa_), (hb, pb) = decode(a), decode(b)
-    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    return sorted(zip(pa_[i].tolist(), pb[j].tolist()))
+    order = np.argsort(hb, kind="stable")
+    low, high = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
+    n = high - low
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return list(zip(np.repeat(pa_, n).tolist(), pb[order][np.repeat(low, n) + nth].tolist()))
 
 
 def edited(text: str, following: str) -> str:
@@ -125,13 +129,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S, size: int = ANCHORS) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """(doc_id, fingerprint) per row of ``docs`` (doc_id, text); NULL counts as the empty text."""
     session_of(docs)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            found = [encode(x, size) for x in anchors(batch.column(1).to_pylist(), k, s)]
+            found = [encode(x) for x in anchors(batch.column(1).to_pylist(), k, s)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
@@ -172,7 +176,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     return rows.repartitionById(count, "range").sortWithinPartitions("range", "flag", "id", "hash")
 
 
-def compare_with_edits(docs: DataFrame, k: int = K, s: int = S, size: int = ANCHORS) -> DataFrame:
+def compare_with_edits(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness, per row of ``docs`` (doc_id, text).
 
     The edited text has its last half replaced by the beginning of the next document's text; after the last
@@ -181,32 +185,34 @@ def compare_with_edits(docs: DataFrame, k: int = K, s: int = S, size: int = ANCH
     edited_fingerprint, near_edited, near_next.
     """
 
-    def rows_of(doc, text, found, following, found_following):
+    def rows_of(doc, text, found, distinct, following, next_distinct):
         changed = [edited(t, f) for t, f in zip(text, following)]
         new = anchors(changed, k, s)
         return pa.RecordBatch.from_arrays([
             pa.array(doc, pa.int64()), pa.array([len(t) for t in text], pa.int64()),
             pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]),
-            pa.array([encode(x, size) for x in found]), pa.array([encode(x, size) for x in new]),
-            pa.array([_likeness(x[0][:size], y[0][:size], size) for x, y in zip(found, new)], pa.float64()),
-            pa.array([_likeness(x[0][:size], y[0][:size], size) for x, y in zip(found, found_following)], pa.float64()),
+            pa.array([encode(x) for x in found]), pa.array([encode(x) for x in new]),
+            pa.array([_likeness(x, np.unique(y[0])) for x, y in zip(distinct, new)], pa.float64()),
+            pa.array([_likeness(x, y) for x, y in zip(distinct, next_distinct)], pa.float64()),
         ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     def run(batches: Batches) -> Batches:
-        held = None  # the last row so far: (range, doc_id, text, anchors), None after a range has ended
+        held = None  # the last row so far: (range, doc_id, text, anchors, their distinct hashes), None after a range has ended
         for batch in batches:
             part, flag, doc, text = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
             found = anchors(text, k, s)
+            distinct = [np.unique(x[0]) for x in found]
             if held is not None:
-                part, flag, doc, text, found = [held[0], *part], [0, *flag], [held[1], *doc], [held[2], *text], [held[3], *found]
+                part, flag, doc, text = [held[0], *part], [0, *flag], [held[1], *doc], [held[2], *text]
+                found, distinct = [held[3], *found], [held[4], *distinct]
             own = [i for i in range(len(part) - 1) if flag[i] == 0]
             if any(part[i] != part[i + 1] for i in own):
                 raise ValueError("a range without its end")
             for a in range(0, len(own), 500):
                 some = own[a : a + 500]
-                yield rows_of([doc[i] for i in some], [text[i] for i in some], [found[i] for i in some],
-                              [text[i + 1] for i in some], [found[i + 1] for i in some])
-            held = (part[-1], doc[-1], text[-1], found[-1]) if flag[-1] == 0 else None
+                yield rows_of([doc[i] for i in some], [text[i] for i in some], [found[i] for i in some], [distinct[i] for i in some],
+                              [text[i + 1] for i in some], [distinct[i + 1] for i in some])
+            held = (part[-1], doc[-1], text[-1], found[-1], distinct[-1]) if flag[-1] == 0 else None
 
     return with_following(docs).mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

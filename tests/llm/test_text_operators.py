@@ -214,3 +214,22 @@ def test_fingerprint_edges(spark):
     single = fp.compare_with_edits(spark.createDataFrame([(1, "abcdefgh")], DOCS)).first()
     assert single.edited_sha256 == hashlib.sha256(b"abcdabcd").hexdigest()
     assert fp.compare_with_edits(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_passages_of_long_texts_are_found(spark):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghij ")
+    passage, one, two = ("".join(rng.choice(letters, n)) for n in (500, 20_000, 20_000))
+    one, two = one[:7_000] + passage + one[7_000:], two[:15_000] + passage + two[15_000:18_000] + passage + two[18_000:]
+    by = {r.doc_id: r for r in fp.compare_with_edits(spark.createDataFrame([(1, one), (2, two)], DOCS)).collect()}
+    inside = [p for p, _ in fp.matches(by[1].fingerprint, by[1].fingerprint) if 7_000 <= p <= 7_500 - fp.K]
+    found = fp.matches(by[1].fingerprint, by[2].fingerprint)
+    assert len(inside) > 80
+    assert {(p, p + shift) for p in inside for shift in (8_000, 11_500)} <= set(found)
+
+    def grams(text):
+        return {text[p : p + fp.K] for p in fp.decode(fp.fingerprint_documents(spark.createDataFrame([(0, text)], DOCS)).first().fingerprint)[1]}
+
+    a, b, c = grams(one), grams(two), grams(fp.edited(one, two))
+    assert by[1].near_next == pytest.approx(2 * len(a & b) / (len(a) + len(b)))
+    assert by[1].near_edited == pytest.approx(2 * len(a & c) / (len(a) + len(c)))

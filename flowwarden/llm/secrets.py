@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -22,18 +23,23 @@ from .store import Batches, session_of, stored, text_of
 
 KINDS = ("assign", "access", "hex")
 EXAMPLES = 1_000
-BACKGROUND_DOCS = 2_000
 THRESHOLD = 0.8
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 # A run that is too short as a whole has no part that is long enough: bounds inside the pattern change nothing.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9=]")
-# The same for the RE2 engine, to pass over texts that hold none of them.
-_ANY = r"""(?i:password|passwd|secret|token|apikey|api_key)["']? *[:=]|[A-Za-z0-9+/_.=-]{16}"""
+_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_.=-]{4,}[A-Za-z0-9=]")
+# For the RE2 engine, to pass over texts that hold no base span, or neither that nor a token.
+_BASE = r"""(?i:password|passwd|secret|token|apikey|api_key)["']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+_ANY = _BASE + r"|[A-Za-z0-9+/_.=-]{6}"
+# Tokens shorter than this need a higher score, as a mean over few characters varies more.
+_STEADY = 16
+_KEPT = 1 << 16
 _CLASS = {chr(c): k for k, chars in {
     "U": range(65, 91), "l": range(103, 123), "x": range(97, 103), "d": range(48, 58)}.items() for c in chars}
 _SIZE = {"U": 26, "l": 20, "x": 6, "d": 10}
+_BEFORE = " Ulxd"
+_BEFORE_CODE = np.array([_BEFORE.index(_CLASS.get(chr(c), " ")) for c in range(128)] + [0] * 128, dtype=np.int64)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -56,16 +62,34 @@ class Automaton:
     count: list[dict[str, int]]
     final: list[int]
 
+    def __post_init__(self) -> None:
+        # Per state: log probability of a character and the state after it; log probability of the end.
+        self._steps: list[dict[str, tuple[float, int]]] = [{} for _ in self.final]
+        self._ends: list[float] = []
+        self._unseen = 0.0
+
+    def _prepare(self, unseen: float) -> None:
+        self._steps, self._ends, self._unseen = [{} for _ in self.final], [], unseen
+        for state, out in enumerate(self.count):
+            n = sum(out.values()) + self.final[state]
+            self._ends.append(math.log(max(self.final[state] / n if n else 0, unseen)))
+
+    def _step(self, state: int, c: str) -> tuple[float, int]:
+        out, k = self.count[state], _CLASS.get(c, c)
+        n = sum(out.values()) + self.final[state]
+        found = math.log(max(out.get(k, 0) / n if n else 0, self._unseen) / _SIZE.get(k, 1)), self.next[state].get(k, state)
+        self._steps[state][c] = found
+        return found
+
     def log_likelihood(self, value: str, unseen: float = 1e-5) -> float:
         """Log probability of the characters of ``value`` and of ending after them."""
-        state, total = 0, 0.0
-        for c in classes(value):
-            out = self.count[state]
-            n = sum(out.values()) + self.final[state]
-            total += math.log(max(out.get(c, 0) / n if n else 0, unseen) / _SIZE.get(c, 1))
-            state = self.next[state].get(c, state)
-        n = sum(self.count[state].values()) + self.final[state]
-        return total + math.log(max(self.final[state] / n if n else 0, unseen))
+        if unseen != self._unseen:
+            self._prepare(unseen)
+        state, total, steps = 0, 0.0, self._steps
+        for c in value:
+            x, state = steps[state].get(c) or self._step(state, c)
+            total += x
+        return total + self._ends[state]
 
 
 def infer(values: list[str], alpha: float = 0.05) -> Automaton:
@@ -138,25 +162,43 @@ def infer(values: list[str], alpha: float = 0.05) -> Automaton:
     return Automaton([{c: number[t] for c, t in nxt[s].items()} for s in kept], [dict(count[s]) for s in kept], [final[s] for s in kept])
 
 
-def _steps(text: str):
-    """(class of the character before, character) of each character."""
-    return zip((_CLASS.get(c, " ") for c in " " + text), text)
-
-
 @dataclass
 class Grammars:
     automata: dict[str, Automaton]
     background: dict[tuple[str, str], float]
     unseen: float
 
-    def score(self, token: str) -> float:
-        """The largest log-likelihood ratio per character of any automaton against ordinary text."""
-        plain = sum(self.background.get(x, self.unseen) for x in _steps(token))
-        return max((a.log_likelihood(token) - plain for a in self.automata.values()), default=-math.inf) / max(1, len(token))
+    def __post_init__(self) -> None:
+        self._scores: dict[str, float] = {}
 
-    def spans(self, text: str, threshold: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-        """Base spans, and tokens clear of them that score ``threshold`` or more, as kind ``inferred``."""
-        base = [(a, b, k) for a, b, k, _ in base_spans(text)]
+    def score(self, token: str) -> float:
+        """The largest log-likelihood ratio per character of any automaton against ordinary text.
+
+        Below 16 characters it shrinks with the root of the length, as the error of a mean grows.
+        """
+        found = self._scores.get(token)
+        if found is None:
+            found = self._score(token)
+            if len(token) <= 64:
+                if len(self._scores) >= _KEPT:
+                    self._scores.clear()
+                self._scores[token] = found
+        return found
+
+    def _score(self, token: str) -> float:
+        plain, before = 0.0, " "
+        for c in token:
+            plain += self.background.get((before, c), self.unseen)
+            before = _CLASS.get(c, " ")
+        best = max((a.log_likelihood(token) - plain for a in self.automata.values()), default=-math.inf) / max(1, len(token))
+        return best * min(1.0, math.sqrt(len(token) / _STEADY)) if best > 0 else best
+
+    def spans(self, text: str, threshold: float, based: bool = True) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+        """Base spans, and tokens clear of them that score ``threshold`` or more, as kind ``inferred``.
+
+        ``based`` is false if the text is known to have no base span.
+        """
+        base = [(a, b, k) for a, b, k, _ in base_spans(text)] if based else []
         found, at, end = [], 0, -1
         for m in _TOKEN.finditer(text):
             while at < len(base) and base[at][0] < m.end():
@@ -167,18 +209,37 @@ class Grammars:
         return base, found
 
 
-def learn(docs: DataFrame, examples: int = EXAMPLES, background_docs: int = BACKGROUND_DOCS) -> Grammars:
+def letter_pairs(texts: list[str], based: list[bool]) -> np.ndarray:
+    """How often each ASCII character (of 128) follows each class of ``_BEFORE`` outside base spans; flat, by class.
+
+    ``based`` is false for texts that are known to have no base span.
+    """
+    parts = []
+    for text, some in zip(texts, based):
+        at = 0
+        for start, end, *_ in base_spans(text) if some else ():
+            if start > at:
+                parts.append(text[at:start])
+            at = max(at, end)
+        parts.append(text[at:])
+    # What parts the pieces is not ASCII: not counted itself, of no class.
+    codes = np.frombuffer("\x80".join(["", *parts]).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    now, before = codes[1:], _BEFORE_CODE[codes[:-1]]
+    plain = now < 128
+    return np.bincount(before[plain] * 128 + now[plain], minlength=len(_BEFORE) * 128)
+
+
+def learn(docs: DataFrame, examples: int = EXAMPLES) -> Grammars:
     """Grammars from at most ``examples`` distinct base values of each kind (those with the smallest hashes).
 
-    Ordinary text is how often each character follows each class of character outside base spans in a hash sample
-    of about ``background_docs`` documents.
+    Ordinary text is how often each character follows each class of character outside base spans, over all documents.
     """
     session_of(docs)
 
     def extract(batches: Batches) -> Batches:
         for batch in batches:
             kinds, values = [], []
-            for text in batch.filter(pc.match_substring_regex(batch.column(0), _ANY)).column(0).to_pylist():
+            for text in batch.filter(pc.match_substring_regex(batch.column(0), _BASE)).column(0).to_pylist():
                 for _, _, kind, value in base_spans(text):
                     kinds.append(kind)
                     values.append(value)
@@ -193,21 +254,14 @@ def learn(docs: DataFrame, examples: int = EXAMPLES, background_docs: int = BACK
             automata[kind] = infer([r["value"] for r in some])
 
     def letters(batches: Batches) -> Batches:
-        total: Counter = Counter()
+        total = np.zeros(len(_BEFORE) * 128, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                at = 0
-                for start, end, *_ in [*base_spans(text), (len(text), len(text))]:
-                    total.update(_steps(text[at:start]))
-                    at = max(at, end)
-        found = [(p, c, n) for (p, c), n in total.items() if c < "\x80"]
-        if found:
-            p, c, n = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(c), pa.array(n, pa.int64())], names=["p", "c", "n"])
-
-    share = min(1.0, background_docs / max(1, docs.count()))
-    part = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    counts = part.mapInArrow(letters, "p string, c string, n long").groupBy("p", "c").agg(F.sum("n").alias("n")).collect()
+            total += letter_pairs(batch.column(0).to_pylist(), pc.match_substring_regex(batch.column(0), _BASE).to_pylist())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([_BEFORE[i] for i in at // 128], pa.string()), pa.array([chr(i) for i in at % 128], pa.string()), pa.array(total[at])], names=["p", "c", "n"])
+
+    counts = rows.mapInArrow(letters, "p string, c string, n long").groupBy("p", "c").agg(F.sum("n").alias("n")).collect()
     total = Counter()
     for r in counts:
         total[r["p"]] += r["n"]
@@ -234,8 +288,9 @@ def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             n = batch.num_rows
             columns: list[list] = [[0] * n, [0] * n, [0] * n, [none] * n, [""] * n]
             maybe = pc.indices_nonzero(pc.match_substring_regex(batch.column(1), _ANY))
-            for i, t in zip(maybe.to_pylist(), batch.column(1).take(maybe).to_pylist()):
-                base, more = grammars.value.spans(t, threshold)
+            some = batch.column(1).take(maybe)
+            for i, t, based in zip(maybe.to_pylist(), some.to_pylist(), pc.match_substring_regex(some, _BASE).to_pylist()):
+                base, more = grammars.value.spans(t, threshold, based)
                 for k, kind in enumerate(KINDS):
                     columns[k][i] = sum(x[2] == kind for x in base)
                 if base:

@@ -197,6 +197,32 @@ def test_secret_spans(spark):
     assert sec.scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_ordinary_text_is_learnt_from_all_documents(spark):
+    rows = [(k, f"word {'xy' if k % 3 else 'Qz'} é\x00a{k}") for k in range(4_500)] + [(-1, "é token=abcdefgh zz"), (-2, None)]
+    got = sec.learn(spark.createDataFrame(rows, DOCS).repartition(3)).background
+    counts = {}
+    for text in [t for _, t in rows[:4_500]] + ["é ", " zz"]:
+        for p, c in zip(" " + text, text):
+            if c < "\x80":
+                key = sec._CLASS.get(p, " "), c
+                counts[key] = counts.get(key, 0) + 1
+    total = {p: sum(n for (q, _), n in counts.items() if q == p) for p, _ in counts}
+    assert got == pytest.approx({k: np.log((n + 1) / (total[k[0]] + 128)) for k, n in counts.items()})
+
+
+def test_short_secrets_are_candidates(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprstu"), rng.integers(2, 12))).capitalize() for _ in range(300)]
+    values = ["".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 10)) for _ in range(85)]
+    rows = [(k, " ".join(rng.choice(words, 200)) + f" password={v}") for k, v in enumerate(values[:80])]
+    rows += [(100 + k, f"{words[k]} {v} {' '.join(words[k:k + 30])}") for k, v in enumerate(values[80:])]
+    got = {r.doc_id: r.spans for r in sec.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    for k in range(5):
+        at = len(words[k]) + 1
+        assert got[100 + k] == f"inferred:{at}:{at + 10}"
+    assert all(got[k].startswith("assign:") and "inferred" not in got[k] for k in range(80))
+
+
 def test_inferred_automaton_generalises():
     rng = np.random.default_rng(7)
     values = ["AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16)) for _ in range(300)]

@@ -4,6 +4,10 @@ The template is any function from a list of (role, text) turns to one string. Ev
 conversation is rendered and compared with the render before: what a turn adds is its span, and
 a render that does not begin with the one before has rewritten history. The text inside a turn's
 span is located by rendering the turn with two probe texts that differ in one character.
+
+A template may declare, as its attribute ``look_back``, that a turn only appends to what was written
+before, and that what it appends depends on no more than so many turns before it. Prefixes are then
+rendered from their latest turns; without a declaration every prefix is rendered whole.
 """
 
 from __future__ import annotations
@@ -44,6 +48,9 @@ def tagged(turns: Sequence[Turn]) -> str:
     return "".join(f"<s>[{escape_role(role)}] {escape(text)}</s>\n" for role, text in turns)
 
 
+tagged.look_back = 0
+
+
 def read_tagged(formatted: str) -> list[Turn]:
     """The turns of what ``tagged`` has written; an error where it is no such output."""
     out, at = [], 0
@@ -82,15 +89,16 @@ def format_chats(conversations: DataFrame, template: Template = tagged) -> DataF
     Turns are taken by ``turn`` (NULL first), ties by role and text; NULL roles and texts are empty. The output
     of a conversation is built by cutting it at ``start`` and appending ``piece``, turn by turn; ``text_start``
     and ``text_end`` place the turn's (escaped) text in it; ``rewrites`` is true where the turn changes what had
-    been written before. Rows of one conversation stream through one task in order, and only a bounded history
-    is held: beyond ``CONTEXT_TURNS`` turns or ``CONTEXT_CHARS`` characters a turn is rendered behind the first
-    turn and the latest ones, which is exact for templates that look no further back. Repeated rows are turns of
-    their own, NULL conv_ids form one conversation, an empty table gives an empty result.
+    been written before. Rows of one conversation stream through one task in order. Turns are rendered behind all turns before
+    them, so work grows with the square of a conversation's length; a template with ``look_back`` holds only a
+    bounded history, to which ``CONTEXT_TURNS`` and ``CONTEXT_CHARS`` add nothing but slack. Repeated rows are turns
+    of their own, NULL conv_ids form one conversation, an empty table gives an empty result.
     """
     spark = session_of(conversations)
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    look_back = getattr(template, "look_back", None)
     ordered = rows.repartition(shuffle_partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Batches) -> Batches:
@@ -109,8 +117,8 @@ def format_chats(conversations: DataFrame, template: Template = tagged) -> DataF
                     column.append(value)
                 history.append((role, text))
                 before, position = now, position + 1
-                if len(history) > CONTEXT_TURNS or (len(before) > CONTEXT_CHARS and len(history) > 2):
-                    history = [history[0], *history[-(CONTEXT_TURNS // 2) :]] if len(before) <= CONTEXT_CHARS else [history[0], history[-1]]
+                if look_back is not None and len(history) > look_back and (len(history) > look_back + CONTEXT_TURNS or len(before) > CONTEXT_CHARS):
+                    history = history[len(history) - look_back :]
                     shorter = template(history)
                     shift, before = shift + len(before) - len(shorter), shorter
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())

@@ -54,6 +54,24 @@ def test_templates_that_rewrite_history_are_found(spark):
     assert [out[r.text_start : r.text_end] for r in got] == [t for *_, t in rows]
 
 
+def test_templates_that_look_far_back(spark):
+    def numbered(turns):
+        return f"{'-' if len(turns) > 90 else ''}" + "".join(f"{k} {t} after {turns[k - 70][1] if k >= 70 else ''}\n" for k, (_, t) in enumerate(turns))
+
+    def appended(turns):
+        return "".join(f"{t} after {turns[k - 2][1] if k >= 2 else ''}\n" for k, (_, t) in enumerate(turns))
+
+    appended.look_back = 2
+    turns = [("user", f"text {t % 17} {'x' * (t % 5)}") for t in range(150)]
+    conversations = spark.createDataFrame([(1, k, *turn) for k, turn in enumerate(turns)], TURNS)
+    for template in (numbered, appended):
+        out = ""
+        for k, r in enumerate(sorted(chat.format_chats(conversations, template).collect(), key=lambda r: r.position)):
+            assert r.rewrites == (k > 0 and not template(turns[: k + 1]).startswith(out))
+            out = out[: r.start] + r.piece
+            assert out == template(turns[: k + 1]) and out[r.text_start : r.text_end] == turns[k][1]
+
+
 def test_licence_digests(spark):
     known = [("L", "Copyright 2020 A\nThe licence: use, and share!"), ("K", "Other   words."), ("Z", "...")]
     rows = [(1, "the LICENSE use and share"), (2, "(c) me\nThe license -- use, and share"), (3, "x\nother words\n"), (3, "x\nother words\n"),

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licences, mixing
+from . import licences, mixing, ranked_search
 from .chat import format_chats, read_back
 from .fingerprints import compare_with_edits
 from .jaccard_join import ngram_jaccard_components
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .projection_search import nearest
+from .ranked_search import rank_documents
 from .secrets import scan_secrets
+from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,8 +72,17 @@ def op10_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_formatting, op2_licence_digests, op3_best_fit_packing, op4_fingerprints, op5_line_dedup, op6_ngram_jaccard,
     op7_mix_sources, op8_projection_search, op9_toxicity, op10_secret_grammars,
+    op12_ranked_search, op13_token_counts,
 )}
-ORACLES: dict[str, str] = {"op2_licence_digests": licences.ORACLE, "op7_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_licence_digests": licences.ORACLE, "op7_mix_sources": mixing.ORACLE, "op12_ranked_search": ranked_search.ORACLE}

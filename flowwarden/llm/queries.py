@@ -17,6 +17,7 @@ from .ranked_search import rank_documents
 from .secrets import scan_secrets
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +73,10 @@ def op10_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +88,6 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_formatting, op2_licence_digests, op3_best_fit_packing, op4_fingerprints, op5_line_dedup, op6_ngram_jaccard,
     op7_mix_sources, op8_projection_search, op9_toxicity, op10_secret_grammars,
-    op12_ranked_search, op13_token_counts,
+    op11_whitening, op12_ranked_search, op13_token_counts,
 )}
 ORACLES: dict[str, str] = {"op2_licence_digests": licences.ORACLE, "op7_mix_sources": mixing.ORACLE, "op12_ranked_search": ranked_search.ORACLE}

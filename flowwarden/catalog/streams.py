@@ -10,8 +10,9 @@ from ..operators.features import flow_features
 from ..plans.reports import stream_counters
 from ..session import scratch_path
 from ..sources.streams import read_flow_stream, write_alerts, write_stream
-from ..streaming.dedup import dedup_stream
-from ..streaming.jobs import assemble_stream, counter_totals, score_stream, write_counters
+from ..streaming.assembly import assemble_stream
+from ..streaming.dedup import dedup_stream, sent_alert_stream
+from ..streaming.jobs import counter_totals, score_stream, write_counters
 from .registry import query
 from .scoring import _ACTION_SQL, WITH_SCORED, scored_flows
 from .views import FLOWS_V, KEYS, PACKETS_V, WITH_FLOWS, WITH_PACKETS, as_features, flows, packets, table
@@ -140,6 +141,8 @@ def d02_counts(spark, sf_dir):
 
 
 # ---- streaming jobs over the same tables, run until all available input is processed
+#: longer than any table: what is held is then reported with the next sent alert alone
+_NEVER_S = 1e9
 
 def _table_stream(spark, sf_dir, name):
     return read_flow_stream(spark, sf_dir, table(spark, sf_dir, name).schema, pattern=f"{name}.parquet")
@@ -182,10 +185,20 @@ def s10(spark, sf_dir):
 
 @query("d02_stream_dedup", f"{WITH_FLOWS}, {_chain_sql('flows_v', _DEDUP_KEY, 'start_time_ms', 30000)} SELECT {', '.join(_DEDUP_KEY)}, sent_ms, suppressed FROM line WHERE sent_ms IS NOT NULL")
 def d02_stream(spark, sf_dir):
-    sent = dedup_stream(flow_stream(spark, sf_dir), _DEDUP_KEY, "start_time_ms")
+    sent = dedup_stream(flow_stream(spark, sf_dir), _DEDUP_KEY, "start_time_ms", flush_s=_NEVER_S, delay="0 seconds")
     return _run(spark, sent, "dedup").filter("sent_ms IS NOT NULL")
 
 
+@query("d02_stream_sent_alerts", f"""{_ELIGIBLE}, {_chain_sql('el', _VK, 'end_time_ms', 30000)},
+ pick AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(_VK)}, end_time_ms ORDER BY {', '.join(KEYS)}) AS rn FROM el)
+SELECT {', '.join('p.' + k for k in KEYS)}, p.verdict, p.end_time_ms, l.suppressed FROM line l JOIN pick p
+  ON p.src_ip = l.src_ip AND p.dst_ip = l.dst_ip AND p.verdict = l.verdict AND p.end_time_ms = l.sent_ms AND rn = 1""")
+def d02_stream_rows(spark, sf_dir):
+    """Scored flows of a stream in, the whole alert rows that are sent out."""
+    alerts = score_stream(as_features(flow_stream(spark, sf_dir))).filter("verdict <> 'BENIGN'").select(*KEYS, *_VK, "end_time_ms")
+    return _run(spark, sent_alert_stream(alerts, KEYS, flush_s=_NEVER_S, delay="0 seconds"), "sent").select(*KEYS, "verdict", "end_time_ms", "suppressed")
+
+
 @query("d04_stream_counters", f"""{WITH_SCORED} SELECT count(*) AS flows, count(*) FILTER (verdict = 'ATTACK') AS attack, count(*) FILTER (verdict = 'SUSPECT') AS suspect,
   count(*) FILTER (verdict = 'ANOMALY') AS anomaly, count(*) FILTER (verdict = 'BENIGN') AS benign, count(*) FILTER (len(fired) > 0) AS rule_hits,
   count(*) FILTER (source LIKE 'HEUR:%') AS rule_raised FROM scored""")
@@ -196,6 +209,10 @@ def d04(spark, sf_dir):
     return counter_totals(spark.read.parquet(out))
 
 
-@query("d05_stream_assembly")
+# Flows that are still open when the stream ends stay in its state: those of the table that end an idle gap before its last packet are compared.
+@query("d05_stream_assembly", f"""{_SESSIONS.format(cap=_CAP)}, fl AS ({_FLOWS_SQL}),
+ nx AS (SELECT *, lead(bidirectional_first_seen_ms) OVER (PARTITION BY src_key, dst_key ORDER BY bidirectional_first_seen_ms) AS next_ms FROM fl)
+SELECT * EXCLUDE (next_ms) FROM nx
+WHERE next_ms IS NOT NULL OR bidirectional_last_seen_ms + {_IDLE} <= (SELECT max(t) FROM p)""")
 def d05_stream(spark, sf_dir):
-    return _run(spark, assemble_stream(packet_stream(spark, sf_dir), idle_ms=_IDLE), "assembled")
+    return _rounded(_run(spark, assemble_stream(packet_stream(spark, sf_dir), idle_ms=_IDLE, active_ms=_CAP, delay="0 seconds"), "assembled"))

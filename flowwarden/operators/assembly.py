@@ -23,8 +23,8 @@ FLAGS = ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "CWR", "ECE")
 SIDES = {"src2dst": "fwd", "dst2src": "bwd"}
 
 
-def _merge_packets(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key and millisecond with per-direction counts, sizes and flags."""
+def packet_sums() -> list[Column]:
+    """Counts, sizes and flags of packets per direction."""
     size, flag, way = F.col("pkt_size"), F.col("tcp_flag"), F.col("direction")
     aggs = []
     for side, value in SIDES.items():
@@ -39,7 +39,12 @@ def _merge_packets(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.count_if(mine & (flag == "URG")).alias(f"{side}_urg"),
         ]
     aggs += [F.count_if(flag == f).alias(f"n_{f.lower()}") for f in FLAGS]
-    return packets.groupBy(*keys, F.unix_millis("ts").alias("_t")).agg(*aggs)
+    return aggs
+
+
+def _merge_packets(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key and millisecond."""
+    return packets.groupBy(*keys, F.unix_millis("ts").alias("_t")).agg(*packet_sums())
 
 
 def _with_last_seen(df: DataFrame, keys: Sequence[str], marks: dict[str, Column], inclusive: bool) -> DataFrame:
@@ -123,8 +128,12 @@ def assemble_flows(
         aggs += [F.min(f"{s}_min").alias(f"{s}_min"), F.max(f"{s}_max").alias(f"{s}_max")]
         aggs.append(F.coalesce(F.max(mine) - F.min(mine), F.lit(0)).alias(f"{s}_duration"))
     aggs += [F.sum(f"n_{f.lower()}").alias(f"bidirectional_{f.lower()}_packets") for f in FLAGS]
-    flows = rows.groupBy(*keys, "_flow").agg(*aggs)
+    return flow_records(rows.groupBy(*keys, "_flow").agg(*aggs), keys)
+
 
+def flow_records(flows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Flow-meter records from the sums of each flow."""
+    gaps = ("bidirectional", *SIDES)
     c = F.col
     n, total, squares = c("src2dst_n") + c("dst2src_n"), c("src2dst_sum") + c("dst2src_sum"), c("src2dst_sq") + c("dst2src_sq")
     out = {

@@ -1,16 +1,19 @@
 """Brute-force comparisons and invariants on small fixtures."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF
 from flowwarden.functions import joins
 from flowwarden.functions.prefix import exact_percentiles, running_totals
 from flowwarden.operators.autoencoder import Autoencoder, feature_weights, layer_sizes
 from flowwarden.operators.cleaning import clean, force_numeric
-from flowwarden.operators.dedup import dedup_timeline
+from flowwarden.operators.assembly import assemble_flows
+from flowwarden.operators.dedup import dedup_timeline, sent_alerts
 from flowwarden.operators.features import flow_features
 from flowwarden.operators.oversample import nearest_neighbours
 from flowwarden.operators.profile import constant_columns
@@ -18,7 +21,8 @@ from flowwarden.operators.sampling import cap_benign, mark_test, sample_rows
 from flowwarden.operators.scaling import fit_scaler, scale
 from flowwarden.sources.day_files import read_day_files
 from flowwarden.sources.streams import read_flow_stream, write_alerts, write_stream
-from flowwarden.streaming.dedup import dedup_stream
+from flowwarden.streaming.assembly import assemble_stream
+from flowwarden.streaming.dedup import dedup_stream, sent_alert_stream
 
 
 def greedy(times, window):
@@ -51,22 +55,66 @@ def test_dedup_disabled(spark):
     assert dedup_timeline(df, window_s=0).count() == 2
 
 
-def test_stream_dedup_over_batches_equals_table(spark, tmp_path):
-    rng = random.Random(5)
-    times = sorted(rng.randrange(2_000_000) for _ in range(300))
-    rows = [("a" if i % 2 else "b", "x", "ATTACK", t) for i, t in enumerate(times)]
-    schema = "src_ip string, dst_ip string, verdict string, end_time_ms long"
-    source = str(tmp_path / "in")
-    state, out = str(tmp_path / "state"), str(tmp_path / "out")
-    for part in range(3):
-        spark.createDataFrame(rows[part * 100:(part + 1) * 100], schema).coalesce(1).write.mode("append").parquet(source)
-        df = dedup_stream(read_flow_stream(spark, source, spark.read.parquet(source).schema))
+def _streamed(spark, tmp_path, parts, schema, job):
+    """The rows a stream wrote whose input arrived in ``parts``, one micro-batch each."""
+    source, state, out = (str(tmp_path / n) for n in ("in", "state", "out"))
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        df = job(read_flow_stream(spark, source, spark.read.parquet(source).schema))
         write_stream(df, out, state).awaitTermination()
-    key = lambda r: (r["src_ip"], r["sent_ms"], r["suppressed"])
-    got = sorted(key(r) for r in spark.read.parquet(out).filter("sent_ms IS NOT NULL").collect())
-    table = dedup_timeline(spark.createDataFrame(rows, schema)).filter("sent_ms IS NOT NULL")
-    batch = sorted(key(r) for r in table.collect())
-    assert [g[:2] for g in got] == [b[:2] for b in batch]
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@pytest.mark.parametrize("flush_s", [0.0, 45.0])
+def test_stream_dedup_over_batches_equals_table(spark, tmp_path, flush_s):
+    rng = random.Random(5)
+    times = sorted(t + 200_000 * (t > 500_000) + 300_000 * (t > 1_200_000) for t in (rng.randrange(2_000_000) for _ in range(300)))
+    rows = [("a" if i % 2 else None, "x", "ATTACK", t, i) for i, t in enumerate(times)]
+    rows += [(*r[:4], r[4] + 1000) for r in rows[::7]]
+    schema = "src_ip string, dst_ip string, verdict string, end_time_ms long, n int"
+    batches = [sorted((r for r in rows if times[100 * k] <= r[3] < (times + [10**9])[100 * k + 100]), key=lambda _: rng.random()) for k in range(3)]
+    for k in range(2):  # late by less than the delay
+        late = [r for r in batches[k] if times[100 * k + 99] - r[3] < 20_000][:3]
+        batches[k] = [r for r in batches[k] if r not in late]
+        batches[k + 1] += late
+    end = [[("z", "z", "ATTACK", 10**8, 0)], [("z", "z", "ATTACK", 2 * 10**8, 0)]]
+    df = spark.createDataFrame(rows, schema)
+    (tmp_path / "t").mkdir()
+    got = _streamed(spark, tmp_path / "t", batches + end, schema, lambda s: dedup_stream(s, flush_s=flush_s)).filter("src_ip IS NULL OR src_ip <> 'z'")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, dedup_timeline(df, flush_s=flush_s).collect()))
+    assert got.filter("sent_ms IS NULL").count() >= 2 and (flush_s == 0 or not got.filter("sent_ms IS NOT NULL AND suppressed > 0").isEmpty())
+    (tmp_path / "r").mkdir()
+    sent = _streamed(spark, tmp_path / "r", batches + end, schema, lambda s: sent_alert_stream(s, ["n"], flush_s=flush_s)).filter("src_ip IS NULL OR src_ip <> 'z'")
+    assert Counter(map(tuple, sent.collect())) == Counter(map(tuple, sent_alerts(df, ["n"], flush_s=flush_s).collect()))
+
+
+def test_stream_assembly_over_batches_equals_table(spark, tmp_path):
+    """Idle gaps, the active cap and packets of one millisecond, over batches that cut flows, with late packets."""
+    rng = random.Random(9)
+    t, times = 0, []
+    for _ in range(500):
+        t += rng.choice([0, 0, 1, 40, 900, 900, 3_000, 11_000])
+        times.append(t)
+    way, flag = ["fwd", "fwd", "bwd", "odd"], ["SYN", "PSH", "URG", "ACK", None]
+    rows = [("a" if i % 3 else None, i % 2, t, rng.choice(way), float(rng.randrange(40, 1500)), rng.choice(flag)) for i, t in enumerate(times)]
+    batches = [rows[k : k + 100] for k in range(0, 500, 100)]
+    for k in range(4):
+        late = [r for r in batches[k][-8:-2] if batches[k][-1][2] - r[2] < 5_000]
+        batches[k] = [r for r in batches[k] if r not in late]
+        batches[k + 1] = late + batches[k + 1]
+    end = [[("z", 0, 10**8, "fwd", 1.0, None)], [("z", 0, 2 * 10**8, "fwd", 1.0, None)], [("z", 0, 3 * 10**8, "fwd", 1.0, None)]]
+    schema = "src_key string, dst_key int, ms long, direction string, pkt_size double, tcp_flag string"
+    timed = lambda df: df.withColumn("ts", F.timestamp_millis("ms"))
+    got = _streamed(spark, tmp_path, batches + end, schema, lambda s: assemble_stream(timed(s), idle_ms=10_000, active_ms=15_000))
+    got = got.filter("src_key IS NULL OR src_key <> 'z'")
+    want = assemble_flows(timed(spark.createDataFrame(rows, schema)), idle_ms=10_000, active_ms=15_000, slice_ms=2_000)
+    assert got.columns == want.columns
+    order = lambda r: (r["src_key"] or "", r["dst_key"], r["bidirectional_first_seen_ms"])
+    found, wanted = sorted(got.collect(), key=order), sorted(want.collect(), key=order)
+    assert len(found) == len(wanted) > 30 and any(r.bidirectional_duration_ms >= 10_000 for r in wanted)
+    for f, w in zip(found, wanted):
+        for c in got.columns:
+            assert f[c] == w[c] or f[c] == pytest.approx(w[c], rel=1e-9, abs=1e-6), (c, f, w)
 
 
 def test_alert_sink_rerun_leaves_same_rows(spark, tmp_path):

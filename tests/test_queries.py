@@ -6,16 +6,12 @@ from conftest import SF
 from flowwarden.catalog import ORACLES, QUERIES
 from oracle import compare, connect
 
-# Model fits take minutes together; the driver check and tests/check.py run them.
-SLOW = {"v05_model_scoring", "s12_model_info", "m01_forest_predictions", "m04_class_probabilities", "m03_holdout_accuracy"}
-
-
 @pytest.fixture(scope="session")
 def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     if name in ORACLES:

@@ -12,9 +12,9 @@ from ..session import scratch_path
 from ..sources.streams import read_flow_stream, write_alerts, write_stream
 from ..streaming.assembly import assemble_stream
 from ..streaming.dedup import dedup_stream, sent_alert_stream
-from ..streaming.jobs import counter_totals, score_stream, write_counters
+from ..streaming.jobs import counter_totals, live_alerts, score_stream, write_counters
 from .registry import query
-from .scoring import _ACTION_SQL, WITH_SCORED, scored_flows
+from .scoring import _ACTION_SQL, _LABEL_SQL, _SCORE6, _SOURCE_SQL, WITH_SCORED, scored_flows
 from .views import FLOWS_V, KEYS, PACKETS_V, WITH_FLOWS, WITH_PACKETS, as_features, flows, packets, table
 
 _DEDUP_KEY = ("src_ip", "dst_ip", "rf_label")
@@ -199,6 +199,19 @@ def d02_stream_rows(spark, sf_dir):
     return _run(spark, sent_alert_stream(alerts, KEYS, flush_s=_NEVER_S, delay="0 seconds"), "sent").select(*KEYS, "verdict", "end_time_ms", "suppressed")
 
 
+@query("e02_live_job", f"""{_ELIGIBLE}, {_chain_sql('el', _VK, 'end_time_ms', 30000)},
+ pick AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(_VK)}, end_time_ms ORDER BY {', '.join(KEYS)}) AS rn FROM el)
+SELECT {', '.join('p.' + k for k in KEYS)}, {_ACTION_SQL.replace('verdict', 'p.verdict')} AS action, p.verdict, {_LABEL_SQL} AS label, flabel AS rf_label,
+  round(fconf, 4) AS confidence, {_SOURCE_SQL} AS source, len(fired) AS n_flags, p.src_ip, p.dst_ip, src_port, dst_port, protocol, start_time_ms,
+  p.end_time_ms, {_SCORE6} AS anomaly_score, flagged AS anomaly_flagged, l.suppressed
+FROM line l JOIN pick p ON p.src_ip = l.src_ip AND p.dst_ip = l.dst_ip AND p.verdict = l.verdict AND p.end_time_ms = l.sent_ms AND rn = 1""")
+def e02(spark, sf_dir):
+    """Flow stream to alert payloads in one plan: verdicts, rules, suppression, payload."""
+    sent = live_alerts(as_features(flow_stream(spark, sf_dir)), KEYS, flush_s=_NEVER_S, delay="0 seconds")
+    out = _run(spark, sent, "live")
+    return out.withColumn("n_flags", F.size("heuristic_flags").cast("bigint")).drop("heuristic_flags")
+
+
 @query("d04_stream_counters", f"""{WITH_SCORED} SELECT count(*) AS flows, count(*) FILTER (verdict = 'ATTACK') AS attack, count(*) FILTER (verdict = 'SUSPECT') AS suspect,
   count(*) FILTER (verdict = 'ANOMALY') AS anomaly, count(*) FILTER (verdict = 'BENIGN') AS benign, count(*) FILTER (len(fired) > 0) AS rule_hits,
   count(*) FILTER (source LIKE 'HEUR:%') AS rule_raised FROM scored""")

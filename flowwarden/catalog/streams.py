@@ -11,6 +11,7 @@ from ..plans.reports import stream_counters
 from ..session import scratch_path
 from ..sources.streams import read_flow_stream, write_alerts, write_stream
 from ..streaming.assembly import assemble_stream
+from ..streaming.counters import CounterLog, counter_totals as observed_totals, observed
 from ..streaming.dedup import dedup_stream, sent_alert_stream
 from ..streaming.jobs import counter_totals, live_alerts, score_stream, write_counters
 from .registry import query
@@ -62,6 +63,7 @@ SELECT (SELECT count(*) FROM scored) AS flows, (SELECT count(*) FROM scored WHER
   (SELECT count(*) FROM scored WHERE verdict = 'SUSPECT') AS suspect, (SELECT count(*) FROM scored WHERE verdict = 'ANOMALY') AS anomaly,
   (SELECT count(*) FROM scored WHERE verdict = 'BENIGN') AS benign, (SELECT count(*) FROM scored WHERE len(fired) > 0) AS rule_hits,
   (SELECT count(*) FROM scored WHERE source LIKE 'HEUR:%') AS rule_raised,
+  (SELECT count(*) FROM scored WHERE flabel IS NULL OR fconf IS NULL OR fscore IS NULL OR isnan(fscore)) AS errors,
   (SELECT count(sent_ms) FROM line) AS alerts_sent, (SELECT sum(suppressed) FROM line) AS alerts_suppressed""")
 def a19(spark, sf_dir):
     return stream_counters(scored_flows(spark, sf_dir))
@@ -222,6 +224,20 @@ def d04(spark, sf_dir):
     return counter_totals(spark.read.parquet(out))
 
 
+@query("a19_stream_counters", f"""{WITH_SCORED} SELECT count(*) AS flows, count(*) FILTER (verdict = 'ATTACK') AS attack, count(*) FILTER (verdict = 'SUSPECT') AS suspect,
+  count(*) FILTER (verdict = 'ANOMALY') AS anomaly, count(*) FILTER (verdict = 'BENIGN') AS benign, count(*) FILTER (len(fired) > 0) AS rule_hits,
+  count(*) FILTER (source LIKE 'HEUR:%') AS rule_raised, count(*) FILTER (flabel IS NULL OR fconf IS NULL OR fscore IS NULL OR isnan(fscore)) AS errors,
+  count(*) > 0 AS has_rate FROM scored""")
+def a19_stream(spark, sf_dir):
+    """Counters observed while the stream is scored and written, stored per batch by a listener, summed over all batches."""
+    path = scratch_path(spark, "observed")
+    with CounterLog(spark, path) as log:
+        scored = observed(score_stream(as_features(flow_stream(spark, sf_dir))))
+        log.wait(write_stream(scored.select(*KEYS, "verdict"), scratch_path(spark, "judged"), scratch_path(spark, "judged-state")))
+    totals = observed_totals(spark.read.parquet(path))
+    return totals.withColumn("has_rate", F.col("flows_per_second") > 0).drop("flows_per_second")
+
+
 # Flows that are still open when the stream ends stay in its state: those of the table that end an idle gap before its last packet are compared.
 @query("d05_stream_assembly", f"""{_SESSIONS.format(cap=_CAP)}, fl AS ({_FLOWS_SQL}),
  nx AS (SELECT *, lead(bidirectional_first_seen_ms) OVER (PARTITION BY src_key, dst_key ORDER BY bidirectional_first_seen_ms) AS next_ms FROM fl)

@@ -20,12 +20,18 @@ def flow_counters() -> list:
     ]
 
 
+def error_count():
+    """Flows that should have been judged but have no label or no finite score from their models."""
+    unjudged = F.col("label").isNull() | F.col("confidence").isNull() | F.col("anomaly_score").isNull() | F.isnan("anomaly_score")
+    return F.count_if(unjudged).alias("errors")
+
+
 def stream_counters(scored: DataFrame, cfg: DetectionConfig = DEFAULT) -> DataFrame:
-    """Flows per verdict, rule hits, rules that raised a verdict, alerts sent and suppressed."""
+    """Flows per verdict, rule hits, rules that raised a verdict, flows without model outputs, alerts sent and suppressed."""
     alerts = eligible_alerts(scored, cfg).select("src_ip", "dst_ip", "verdict", "end_time_ms")
     sent = dedup_counts(dedup_timeline(alerts, window_s=cfg.dedup_window_s)).agg(
         F.struct(F.max("sent").alias("sent"), F.max("suppressed").alias("suppressed"))
     ).scalar()
-    return scored.agg(*flow_counters()).select(
+    return scored.agg(*flow_counters(), error_count()).select(
         "*", sent["sent"].alias("alerts_sent"), sent["suppressed"].alias("alerts_suppressed")
     )

@@ -20,8 +20,9 @@ from flowwarden.operators.profile import constant_columns
 from flowwarden.operators.sampling import cap_benign, mark_test, sample_rows
 from flowwarden.operators.scaling import fit_scaler, scale
 from flowwarden.sources.day_files import read_day_files
-from flowwarden.sources.streams import read_flow_stream, write_alerts, write_stream
+from flowwarden.sources.streams import read_flow_stream, write_alerts, write_batches, write_stream
 from flowwarden.streaming.assembly import assemble_stream
+from flowwarden.streaming.counters import CounterLog, counter_totals as observed_totals, observed
 from flowwarden.streaming.dedup import dedup_stream, sent_alert_stream
 
 
@@ -131,6 +132,40 @@ def test_alert_sink_rerun_leaves_same_rows(spark, tmp_path):
         first = counts
 
 
+def test_alert_sink_keeps_the_runs_of_other_names(spark, tmp_path):
+    schema = "id int"
+    out = str(tmp_path / "out")
+    for run, ids in (("one", [1, 2]), ("two", [3]), ("one", [1, 2])):
+        source = str(tmp_path / f"in-{run}")
+        spark.createDataFrame([(i,) for i in ids], schema).coalesce(1).write.mode("overwrite").parquet(source)
+        stream = read_flow_stream(spark, source, spark.read.parquet(source).schema)
+        write_batches(stream, out, str(tmp_path / f"state-{run}-{len(list(tmp_path.iterdir()))}"), run).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).select("id", "run").collect())) == [(1, "one"), (2, "one"), (3, "two")]
+    with pytest.raises(ValueError):
+        write_batches(stream, out, str(tmp_path / "x"), "a/b")
+
+
+def test_observed_counters_over_many_batches(spark, tmp_path):
+    """More batches than the session keeps progress reports of; flows without model outputs are errors."""
+    from flowwarden.catalog.views import as_features, flows
+    from flowwarden.plans.reports import error_count, flow_counters
+    from flowwarden.plans.scoring import score_flows
+
+    gone = F.when(F.col("l_partkey") % 7 != 0, F.col("ae_score"))
+    part = as_features(flows(spark, SF)).limit(240).withColumn("ae_score", gone).repartition(120).cache()
+    source = str(tmp_path / "in")
+    part.write.parquet(source)
+    log_path = str(tmp_path / "log")
+    with CounterLog(spark, log_path) as log:
+        stream = read_flow_stream(spark, source, part.schema, files_per_batch=1)
+        log.wait(write_stream(observed(score_flows(stream)).select("verdict"), str(tmp_path / "out"), str(tmp_path / "state")))
+    rows = spark.read.parquet(log_path)
+    assert rows.select("batch_id").distinct().count() > 100
+    got = observed_totals(rows.unionByName(rows)).first().asDict()
+    want = score_flows(part).agg(*flow_counters(), error_count()).first().asDict()
+    assert got.pop("flows_per_second") > 0 and got == want and got["errors"] > 0
+
+
 def test_percentiles_and_running_totals(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(size=500), np.full(250, 1.5)])

@@ -13,6 +13,8 @@ from ..operators.profile import (
 )
 from ..schema import BENIGN
 from .preparation import _NUM, _num
+from ..plans.audit import audit_correlations, load_audit, save_audit
+from ..session import scratch_path
 from .registry import query
 from .views import WITH_FLOWS, WITH_RAW, flows, raw_flows
 
@@ -210,6 +212,21 @@ def a20(spark, sf_dir):
     return pruning_summary(_feature_list(spark, sf_dir), high, redundant_columns(high), 0.5)
 
 
+@query("e03_correlation_job", f"""{_GREEDY}, f AS (SELECT unnest([{", ".join(f"'{c}'" for c in _CORR)}]) AS feature, unnest(range({len(_CORR)})) AS position)
+SELECT CAST(position AS INTEGER) AS position, feature, 0.5E0 AS threshold, {len(_CORR)} AS n_original_features, {len(_CORR)} - (SELECT count(*) FROM d) AS n_pruned_features,
+  (SELECT count(*) FROM high) AS n_pairs_found, (SELECT count(*) FROM high WHERE drop_candidate = feature) AS named_to_drop
+FROM f WHERE feature NOT IN (SELECT dropped FROM d)""")
+def e03(spark, sf_dir):
+    """The whole correlation job: audited, stored, read back; the pruned list with the report's counts."""
+    root = scratch_path(spark, "audit")
+    save_audit(audit_correlations(_corr_frame(spark, sf_dir), _CORR, 0.5), root)
+    audit = load_audit(spark, root)
+    named = audit.pairs.groupBy(F.col("drop_candidate").alias("feature")).agg(F.count("*").alias("named_to_drop"))
+    counts = audit.summary.select(F.struct("threshold", "n_original_features", "n_pruned_features", "n_pairs_found").alias("s")).scalar()
+    listed = audit.pruned.join(named, "feature", "left")
+    return listed.select("position", "feature", F.coalesce("named_to_drop", F.lit(0)).alias("named_to_drop"), F.inline(F.array(counts)))
+
+
 @query("a22_top_variance", f"""{WITH_FLOWS}, m AS ({_each("'{name}' AS column_name, round(var_samp({c}), 4) AS variance", _COLS, "flows_v")})
 SELECT * FROM m ORDER BY variance DESC, column_name LIMIT 5""")
 def a22(spark, sf_dir):

@@ -231,6 +231,17 @@ def p13(spark, sf_dir):
     return rounded_verdict(scored_flows(spark, sf_dir)).select(*KEYS, "confidence", "anomaly_score")
 
 
+@query("p13_rounded_probabilities", f"""{WITH_SCORED}, p AS (SELECT {_K}, unnest(['Benign', 'Bot', 'SSH-Bruteforce']) AS class,
+  unnest([rf_confidence / 3, (1 - rf_confidence) / 7, 1 - rf_confidence / 3 - (1 - rf_confidence) / 7]) AS x FROM scored)
+SELECT {_K}, class, CAST(round(CAST(CAST(x AS VARCHAR) AS DECIMAL(38,20)), 4) AS DOUBLE) AS probability FROM p""")
+def p13_map(spark, sf_dir):
+    """Every probability of the class map to 4 decimals."""
+    c = F.col("rf_confidence")
+    shares = {"Benign": c / 3, "Bot": (1 - c) / 7, "SSH-Bruteforce": 1 - c / 3 - (1 - c) / 7}
+    given = feature_flows(spark, sf_dir).withColumn("class_probabilities", F.create_map(*[v for n, x in shares.items() for v in (F.lit(n), x)]))
+    return rounded_verdict(score_flows(given)).select(*KEYS, F.explode("class_probabilities").alias("class", "probability"))
+
+
 @query("p14_action", f"{WITH_SCORED} SELECT verdict, {_ACTION_SQL} AS action, count(*) AS flows FROM scored GROUP BY ALL")
 def p14(spark, sf_dir):
     return scored_flows(spark, sf_dir).groupBy("verdict", action(F.col("verdict")).alias("action")).agg(

@@ -10,6 +10,9 @@ from ..operators.evaluate import (
     confusion_matrix, cross_model, curve_areas, detection_rates, detection_table, nearest_threshold,
     precision_recall_curve, roc_curve, score_histogram, score_points, threshold_sweep, weak_classes,
 )
+from ..plans.offline import evaluate, save_evaluation
+from ..schema import LABEL
+from ..session import scratch_path
 from .registry import query
 from .views import WITH_FLOWS, flows
 
@@ -186,3 +189,25 @@ def a21(spark, sf_dir):
     return _r(score_histogram(clip_scores(scores(spark, sf_dir))), "left_edge", "density")
 
 
+_ACTIVE = "round(coalesce({a} / nullif({b}, 0), 0), 6)"
+
+
+@query("e04_evaluation_summary", f"""{_POINTS}, {_REPORT.removeprefix(_S).lstrip(", ")},
+ l AS (SELECT *, lag(tp, 1, 0) OVER (ORDER BY threshold DESC) AS tp0, lag(fp, 1, 0) OVER (ORDER BY threshold DESC) AS fp0 FROM pts),
+ ar AS (SELECT round(sum((fp - fp0) / n * (tp + tp0) / p / 2), 6) AS roc_auc,
+  round(sum((tp - tp0) / p * (tp / (tp + fp) + CASE WHEN tp0 + fp0 > 0 THEN tp0 / (tp0 + fp0) ELSE 1 END) / 2), 6) AS pr_auc FROM l),
+ ac AS (SELECT {_COUNTS.format(t=2.0)} FROM e)
+SELECT (SELECT round(f1, 6) FROM report WHERE class = 'accuracy') AS accuracy, (SELECT round(f1, 6) FROM report WHERE class = 'macro avg') AS macro_f1,
+  (SELECT round(f1, 6) FROM report WHERE class = 'weighted avg') AS weighted_f1,
+  (SELECT count(*) FROM report WHERE f1 < 0.7 AND class NOT IN ('accuracy', 'macro avg', 'weighted avg')) AS n_weak_classes, roc_auc, pr_auc, 2.0E0 AS active_threshold,
+  {_ACTIVE.format(a="tp", b="tp + fp")} AS active_precision, {_ACTIVE.format(a="tp", b="tp + fn")} AS active_recall,
+  {_ACTIVE.format(a="fp", b="fp + tn")} AS active_benign_fpr, {_ACTIVE.format(a="2 * tp", b="2 * tp + fp + fn")} AS active_f1 FROM ar, ac""")
+def e04(spark, sf_dir):
+    """The whole evaluation job at a threshold set by hand: all reports stored, the stored summary read back."""
+    root = scratch_path(spark, "evaluation")
+    outputs = flows(spark, sf_dir).select(F.col("label").alias(LABEL), "rf_label", "ae_score")
+    save_evaluation(evaluate(outputs, threshold=2.0), root)
+    columns = ("accuracy", "macro_f1", "weighted_f1", "roc_auc", "pr_auc", "active_threshold",
+               *[f"active_{c}" for c in ("precision", "recall", "benign_fpr", "f1")])
+    schema = "n_weak_classes long, " + ", ".join(f"{c} double" for c in columns)
+    return _r(spark.read.schema(schema).json(f"{root}/summary"), *columns)

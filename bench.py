@@ -16,7 +16,8 @@ HEADLINE = (
     "a06_mean_ratio", "a09_correlation_wide", "a10_high_correlation",
     "a12_class_report", "a16_detection_table", "a17_threshold_sweep", "a21_histogram", "w02_w03_areas", "m09_benign_thresholds",
     "x01_cap_benign", "x03_stratified_split", "x04_standard_scale",
-    "d02_dedup", "d03_suppressed", "d05_flow_assembly", "d01_stream_scoring",
+    "d02_dedup", "d03_suppressed", "d05_flow_assembly", "d01_stream_scoring", "d02_sent_alerts", "a19_counters",
+    "d02_stream_sent_alerts", "d05_stream_assembly", "e02_live_job", "t02_top_importances",
 )
 
 

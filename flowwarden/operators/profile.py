@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.numeric import col, divide_or_null, finite_or_null
-from ..functions.prefix import exact_percentiles, sketch_percentiles
+from ..functions.prefix import column_percentiles, sketch_percentiles
 from ..schema import BENIGN, LABEL
 from ..session import materialise
 
@@ -111,9 +111,14 @@ def describe(df: DataFrame, columns: Sequence[str], quartiles: bool = True, exac
     })
     if not quartiles:
         return report
-    long = unpivot_values(df.select(*[finite_or_null(col(c)).alias(c) for c in columns]), columns)
-    percentiles = exact_percentiles if exact else sketch_percentiles
-    return report.join(percentiles(long, "value", QUARTILES, ["column_name"]), "column_name", "left")
+    return report.join(_percentiles(df, columns, QUARTILES, exact), "column_name", "left")
+
+
+def _percentiles(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], exact: bool) -> DataFrame:
+    finite = df.select(*[finite_or_null(col(c)).alias(c) for c in columns])
+    if exact:
+        return column_percentiles(finite, columns, probabilities)
+    return sketch_percentiles(unpivot_values(finite, columns), "value", probabilities, ["column_name"])
 
 
 def outlier_profile(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
@@ -121,8 +126,7 @@ def outlier_profile(df: DataFrame, columns: Sequence[str], exact: bool = True) -
     report = column_report(df, columns, {
         "min": lambda c: F.min(finite_or_null(c)), "max": lambda c: F.max(finite_or_null(c)),
     })
-    long = unpivot_values(df.select(*[finite_or_null(col(c)).alias(c) for c in columns]), columns)
-    tails = (exact_percentiles if exact else sketch_percentiles)(long, "value", {"p001": 0.001, "p999": 0.999}, ["column_name"])
+    tails = _percentiles(df, columns, {"p001": 0.001, "p999": 0.999}, exact)
     return report.join(tails, "column_name", "left").withColumn(
         "max_ratio", F.abs(divide_or_null(F.col("max"), F.col("p999")))
     )

@@ -179,6 +179,47 @@ def test_percentiles_and_running_totals(spark):
     assert [got[i] for i in range(100)] == np.cumsum([i % 5 for i in range(100)]).tolist()
 
 
+@pytest.mark.parametrize("bracket, rows", [(1e-4, 10**6), (0.02, 10**6), (0.02, 5)])
+def test_percentiles_by_selection(spark, monkeypatch, bracket, rows):
+    """Brackets that leave most values out, ties over a bracket's edge, groups of one, NULL groups, and missed brackets."""
+    from flowwarden.functions import prefix
+
+    monkeypatch.setattr(prefix, "WINDOW_ROWS", rows)
+    rng = np.random.default_rng(7)
+    groups = {"n": rng.normal(size=3000), "t": rng.integers(0, 4, 2000).astype(float), "one": np.array([3.5]), None: rng.exponential(size=1500), "two": np.array([-1.0, 8.0])}
+    data = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("n", None), ("n", float("nan")), ("gone", None)]
+    df = spark.createDataFrame(data, "a string, x double").repartition(5)
+    names = {f"p{i}": p for i, p in enumerate((0.0, 0.001, 0.333, 0.5, 0.999, 1.0))}
+
+    def check():
+        got = {r["a"]: r for r in exact_percentiles(df, "x", names, ["a"], bracket).collect()}
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            assert [got[g][n] for n in names] == pytest.approx([np.percentile(xs, 100 * p) for p in names.values()], abs=1e-12)
+
+    check()
+    every = np.concatenate(list(groups.values()))
+    assert exact_percentiles(df, "x", {"p": 0.77}, (), bracket).first()["p"] == pytest.approx(np.percentile(every, 77), abs=1e-12)
+    assert exact_percentiles(df.limit(0), "x", {"p": 0.5}).first()["p"] is None
+    wide = spark.createDataFrame([(float(x), float(y), None, float(z)) for x, y, z in zip(groups["n"], rng.integers(0, 3, 3000), rng.exponential(size=3000))],
+                                 "`a b` double, t double, gone double, e double").union(spark.createDataFrame([(None, float("nan"), None, None)], "a double, b double, c double, d double"))
+
+    def check_wide():
+        got = {r["column_name"]: r for r in prefix.column_percentiles(wide, wide.columns, names, bracket=bracket).collect()}
+        assert set(got) == {"a b", "t", "e"}
+        for c, r in got.items():
+            xs = np.array([x[c] for x in wide.collect() if x[c] is not None and x[c] == x[c]])
+            assert [r[n] for n in names] == pytest.approx([np.percentile(xs, 100 * p) for p in names.values()], abs=1e-12)
+
+    check_wide()
+    assert prefix.column_percentiles(wide.limit(0), wide.columns, names).count() == 0
+    if bracket == 0.02 and rows > 5:  # a sketch that names the wrong places
+        real = prefix.F.percentile_approx
+        monkeypatch.setattr(prefix.F, "percentile_approx", lambda c, p, a: real(c, [x / 2 for x in p], a))
+        check()
+        check_wide()
+
+
 def test_sampling_is_exact_with_copies(spark):
     rows = [("f1", "Benign", 7)] * 60 + [("f1", "Benign", i) for i in range(40)] + [("f1", "Bot", i) for i in range(30)] + [("f2", "Benign", 1)] * 5
     df = spark.createDataFrame(rows, "source_file string, Label string, x int")

@@ -99,7 +99,7 @@ def detector(spark) -> Detector:
         bad = i % 3 == 0
         rows.append(("day.csv", *[str(v) for v in (22 if bad else 443, 6, *rng.integers(1, 50, 4), int(bad) * 9)], "Bot" if bad else "Benign", str(i)))
     raw = spark.createDataFrame(rows, "source_file string, " + ", ".join(f"`{n}` string" for n in names) + ", Label string, id string")
-    return train(prepare(raw, keys=["id"]), oversampled=None, keys=["id"], forest_params={"numTrees": 3, "maxDepth": 3}, autoencoder_params={"epochs": 1})
+    return train(prepare(raw, keys=["id"]), oversampled=None, keys=["id"], forest_params={"trees": 3, "max_depth": 3}, autoencoder_params={"epochs": 1})
 
 
 def test_models_take_dirty_rows(spark, detector):

@@ -7,8 +7,8 @@ line (by doc_id, then text hash, then line number; itself kept or not) is simila
 
 Rarity is counted in a table of fixed size, so that it can be broadcast whatever the
 vocabulary; any order gives right results, a better one gives fewer candidates. Per line
-the earliest candidate is verified first, and all of them only for lines that it does not
-settle.
+the likeliest candidate is verified first, the one whose parity bits differ least for its
+length, and others only for lines that it does not settle.
 """
 
 from __future__ import annotations
@@ -141,6 +141,8 @@ def bit_filter(parts: DataFrame) -> np.ndarray:
 
 
 _ENTRY = ("u4", "u1", "u2", "u2", "u1", "u8", "u8", "i8", "i8")
+#: Entries of the last pass carry 512 further parity bits: few lines are sent then, and all their candidates count.
+_WIDE = 8
 _OCCURRENCE = ("u8", "i8", "i8", "u1")
 
 
@@ -171,6 +173,10 @@ def _emit(rarity, parts: int, percent: int, token_bits=None, line_bits=None):
             # 128 parity bits of the set: the more of them differ, the more the sets do.
             bit, upper = _U(1) << (found.words & _U(63)), (found.words & _U(64)) > 0
             parity = [np.bitwise_xor.reduceat(np.where(upper == half, bit, _U(0)), found.first) for half in (False, True)]
+            wide = []
+            if token_bits is not None:
+                bit, slot = _U(1) << ((found.words >> _U(7)) & _U(63)), (found.words >> _U(13)) % _U(_WIDE)
+                wide = [np.bitwise_xor.reduceat(np.where(slot == _U(k), bit, _U(0)), found.first) for k in range(_WIDE)]
             # Sets of one or two words are similar only where they are equal.
             use = earliest & (size >= 3)
             where = np.repeat(np.arange(len(size)), size)
@@ -188,6 +194,7 @@ def _emit(rarity, parts: int, percent: int, token_bits=None, line_bits=None):
                     (rest >> _U(8)).astype(np.uint32), (rest & _U(0xFF)).astype(np.uint8),
                     np.minimum(size[where], 0xFFFF).astype(np.uint16), np.minimum(pos, 0xFFFF).astype(np.uint16),
                     wanted[where].astype(np.uint8), parity[0][where], parity[1][where], at_id[where], at_mark[where],
+                    *[w[where] for w in wide],
                 ]
                 for p, dealt in packets.split_rows((token % _U(parts)).astype(np.int64), columns, parts):
                     rows.append((p, b"\0" + packets.pack(dealt)))
@@ -197,41 +204,45 @@ def _emit(rarity, parts: int, percent: int, token_bits=None, line_bits=None):
     return run
 
 
-def _earliest_few(y, x, few: int | None):
-    """Distinct (y, x), the ``few`` smallest x of each y, and whether y had more."""
-    order = np.lexsort((x[1], x[0], y[1], y[0]))
-    y, x = [c[order] for c in y], [c[order] for c in x]
+def _likeliest_few(y, x, far, few: int | None):
+    """Distinct (y, x), per y the ``few`` x that differ least (ties: the earliest), their ``far`` and whether y had more."""
+    order = np.lexsort((x[1], x[0], far, y[1], y[0]))
+    y, x, far = [c[order] for c in y], [c[order] for c in x], far[order]
     new_y = np.ones(len(order), dtype=bool)
     new_y[1:] = (y[0][1:] != y[0][:-1]) | (y[1][1:] != y[1][:-1])
     new = new_y.copy()
+    # A pair has one distance, whatever token it was met at, so its repeats lie together.
     new[1:] |= (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])
-    y, x, new_y = [c[new] for c in y], [c[new] for c in x], new_y[new]
+    y, x, far, new_y = [c[new] for c in y], [c[new] for c in x], far[new], new_y[new]
     first = np.flatnonzero(new_y)
     count = np.diff(np.append(first, len(new_y)))
     rank = np.arange(len(new_y)) - np.repeat(first, count)
     more = np.repeat(count > (few or 1 << 60), count)
     keep = rank < (few or 1 << 60)
-    return [c[keep] for c in y], [c[keep] for c in x], more[keep]
+    return [c[keep] for c in y], [c[keep] for c in x], far[keep], more[keep]
 
 
-_FOUND = pa.schema([("kind", pa.int32()), *[(n, pa.int64()) for n in ("id", "mark", "id2", "mark2")], ("more", pa.bool_())])
-_FOUND_SQL = "kind int, id long, mark long, id2 long, mark2 long, more boolean"
+_FOUND = pa.schema([("kind", pa.int32()), *[(n, pa.int64()) for n in ("id", "mark", "id2", "mark2")], ("far", pa.int32()), ("more", pa.bool_())])
+_FOUND_SQL = "kind int, id long, mark long, id2 long, mark2 long, far int, more boolean"
 
 
-def _found(kind: int, y, x, more) -> Batches:
+def _found(kind: int, y, x, far, more) -> Batches:
     for i in range(0, len(y[0]), 100_000):
         s = slice(i, i + 100_000)
         n = len(y[0][s])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int32)), *[pa.array(c[s]) for c in (*y, *x)], pa.array(more[s])], schema=_FOUND)
+            [pa.array(np.full(n, kind, np.int32)), *[pa.array(c[s]) for c in (*y, *x)], pa.array(far[s]), pa.array(more[s])], schema=_FOUND)
+
 
+def _meet(percent: int, few: int | None, wide: int = 0):
+    """Decided lines (kind 0: equal to an earlier one) and candidate pairs (kind 1) of the packets of a task."""
+    entry = _ENTRY + ("u8",) * wide
 
-def _meet(percent: int, few: int | None):
     def run(batches: Batches) -> Batches:
         entries, lines = [], []
         for batch in batches:
             for payload in batch.column(1).to_pylist():
-                kinds, into = (_ENTRY, entries) if payload[0] == 0 else (_OCCURRENCE, lines)
+                kinds, into = (entry, entries) if payload[0] == 0 else (_OCCURRENCE, lines)
                 into.append(packets.unpack(payload[1:], kinds))
         if lines:
             content, i, m, late = [np.concatenate(c) for c in zip(*lines)]
@@ -240,16 +251,17 @@ def _meet(percent: int, few: int | None):
             gone = late[order] > 0
             gone[1:] |= content[order[1:]] == content[order[:-1]]
             out = order[gone]
-            yield from _found(0, (i[out], m[out]), (i[out], m[out]), np.zeros(len(out), dtype=bool))
+            yield from _found(0, (i[out], m[out]), (i[out], m[out]), np.zeros(len(out), np.int32), np.zeros(len(out), dtype=bool))
         if not entries:
             return
-        hi, lo, size, pos, wanted, parity, upper, i, m = [np.concatenate(c) for c in zip(*entries)]
+        hi, lo, size, pos, wanted, parity, upper, i, m, *more_bits = [np.concatenate(c) for c in zip(*entries)]
         entries.clear()
         token = (hi.astype(_U) << _U(8)) | lo
         # One order of lines by (size, hash) in all token groups: of a similar pair the first is met in its index prefix.
         tie = mix(mix(i.astype(_U)) ^ m.astype(_U)) >> _U(16)
         order = np.lexsort(((size.astype(_U) << _U(48)) | tie, token))
         token, size, pos, wanted, parity, upper, i, m = [c[order] for c in (token, size, pos, wanted, parity, upper, i, m)]
+        more_bits = [c[order] for c in more_bits]
         size, pos = size.astype(np.int32), pos.astype(np.int32)
         total = 100 + percent
         index = size - -(-size * 2 * percent // total) + 1
@@ -273,22 +285,28 @@ def _meet(percent: int, few: int | None):
             differ = np.bitwise_count(parity[s] ^ parity[o]).astype(np.int32)
             fine = differ * total <= most
             s, o, differ, most = s[fine], o[fine], differ[fine], most[fine]
-            fine = (differ + np.bitwise_count(upper[s] ^ upper[o])) * total <= most
-            s, o = s[fine], o[fine]
+            differ += np.bitwise_count(upper[s] ^ upper[o])
+            fine = differ * total <= most
+            s, o, differ, most = s[fine], o[fine], differ[fine], most[fine]
+            if wide:
+                fine = sum(np.bitwise_count(c[s] ^ c[o]).astype(np.int32) for c in more_bits) * total <= most
+                s, o, differ = s[fine], o[fine], differ[fine]
             a, b, p, q = size[s], size[o], pos[s], pos[o]
             fine = np.minimum(p, q) + np.minimum(a - p, b - q) >= -(-percent * (a + b) // total)
             fine |= b >= 0xFFFF
             fine &= (i[s] != i[o]) | (m[s] != m[o])
-            s, o = s[fine], o[fine]
+            s, o, differ = s[fine], o[fine], differ[fine]
             later = (i[s] > i[o]) | ((i[s] == i[o]) & (m[s] > m[o]))
             y, x = np.where(later, s, o), np.where(later, o, s)
-            y, x = y[wanted[y] > 0], x[wanted[y] > 0]
+            use = wanted[y] > 0
+            y, x, differ = y[use], x[use], differ[use]
             if len(y):
-                pairs.append(((i[y], m[y]), (i[x], m[x]), np.zeros(len(y), dtype=bool)))
+                far = (differ.astype(np.int64) * 100_000 // (size[y] + size[x])).astype(np.int32)
+                pairs.append(((i[y], m[y]), (i[x], m[x]), far, np.zeros(len(y), dtype=bool)))
                 held += len(y)
             if held > 3_000_000:
                 pairs = [_merged(pairs, few)]
-                held = len(pairs[0][2])
+                held = len(pairs[0][3])
                 if few is None and held > 1_500_000:
                     yield from _found(1, *pairs.pop())
                     held = 0
@@ -301,13 +319,13 @@ def _meet(percent: int, few: int | None):
 def _merged(pairs, few: int | None):
     y = [np.concatenate([p[0][k] for p in pairs]) for k in (0, 1)]
     x = [np.concatenate([p[1][k] for p in pairs]) for k in (0, 1)]
-    marked = np.concatenate([p[2] for p in pairs])
+    far, marked = (np.concatenate([p[k] for p in pairs]) for k in (2, 3))
     told = np.unique(np.stack([y[0][marked], y[1][marked]], axis=1), axis=0) if marked.any() else None
-    y, x, more = _earliest_few(y, x, few)
+    y, x, far, more = _likeliest_few(y, x, far, few)
     if told is not None:
         known = set(map(tuple, told.tolist()))
         more |= np.fromiter(((p, q) in known for p, q in zip(y[0].tolist(), y[1].tolist())), dtype=bool, count=len(more))
-    return y, x, more
+    return y, x, far, more
 
 
 def _packed(words: np.ndarray) -> bytes:
@@ -406,23 +424,25 @@ def removed_lines(docs: DataFrame, percent: int = 75, first: int = FIRST) -> Dat
     sent = rows.mapInArrow(_emit(rarity, parts, percent), packets.SCHEMA)
     found = stored(packets.exchange(sent, parts).mapInArrow(_meet(percent, first), _FOUND_SQL), "found")
     equal = found.where("kind = 0").select("id", "mark")
-    # Lines that equal an earlier one need no candidates; of the others each is held against its earliest one.
-    mine, x = ["id", "mark"], F.struct("id2", "mark2")
+    # Lines that equal an earlier one need no candidates; of the others each is held against its likeliest one.
+    mine, x = ["id", "mark"], F.struct("far", "id2", "mark2")
     candidates = stored(
         found.where("kind = 1").join(equal, mine, "left_anti").groupBy(*mine)
-        .agg(F.min(x).alias("x"), (F.max("more") | (F.min(x) != F.max(x))).alias("more")), "candidates")
-    similar = stored(_similar(rows, candidates.select(*mine, "x.*"), percent), "similar")
+        .agg(F.array_sort(F.collect_set(x)).alias("x"), F.max("more").alias("more")), "candidates")
+    similar = stored(_similar(rows, candidates.select(*mine, F.col("x")[0].alias("x")).select(*mine, "x.id2", "x.mark2"), percent), "similar")
     gone = equal.unionByName(similar)
-    unsettled = stored(candidates.where("more").select(*mine).join(similar, mine, "left_anti"), "unsettled")
+    # A line has at most one candidate per prefix token and task here: few, whatever its group's size.
+    open_lines = (F.size("x") > 1) | F.col("more")
+    unsettled = stored(candidates.where(open_lines).join(similar, mine, "left_anti"), "unsettled")
     if unsettled.limit(1).count():
-        others = stored(_similar(rows, found.where("kind = 1").join(unsettled, mine, "left_semi"), percent), "similar")
+        rest = unsettled.select(*mine, F.explode(F.slice("x", 2, F.size("x"))).alias("x")).select(*mine, "x.id2", "x.mark2")
+        others = stored(_similar(rows, rest, percent), "similar")
         gone = gone.unionByName(others)
-        cut = found.where("kind = 1 and more").select(*mine).distinct()
-        unsettled = stored(unsettled.join(cut, mine, "left_semi").join(others, mine, "left_anti"), "unsettled")
+        unsettled = stored(unsettled.where("more").select(*mine).join(others, mine, "left_anti"), "unsettled")
     if unsettled.limit(1).count():
         token_bits, line_bits = (spark.sparkContext.broadcast(b) for b in _bits_of_lines(unsettled, rows, rarity, percent))
         again = rows.mapInArrow(_emit(rarity, parts, percent, token_bits, line_bits), packets.SCHEMA)
-        every = packets.exchange(again, parts).mapInArrow(_meet(percent, None), _FOUND_SQL)
+        every = packets.exchange(again, parts).mapInArrow(_meet(percent, None, _WIDE), _FOUND_SQL)
         gone = gone.unionByName(_similar(rows, every.join(unsettled, mine, "left_semi"), percent))
     numbers = F.collect_set(F.col("mark").bitwiseAND((1 << _LINE_BITS) - 1).cast("int")).alias("numbers")
     return gone.distinct().groupBy("id", F.shiftright("mark", _LINE_BITS).alias("text_key")).agg(numbers)

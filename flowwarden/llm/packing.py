@@ -162,6 +162,13 @@ class _Search:
         self.version[source] += 1
         self.version[to] += 1
 
+    def _exchange(self, donor: int, given: list[int], other: int, got: list[int]) -> None:
+        """One step: ``given`` go from ``donor`` to ``other``, ``got`` come back (none of them: a move)."""
+        for item in got:
+            self._put(item, donor)
+        for item in given:
+            self._put(item, other)
+
     def _best(self, total: int, sums: np.ndarray, where: np.ndarray, donor: int, usable) -> tuple[int, int]:
         """(gain, entry): the exchange of ``total`` against a smaller sum that fills some bin most."""
         gain = total - sums
@@ -175,11 +182,14 @@ class _Search:
         """Improve until the donor is empty; False if no step is left."""
         while self.bins[donor]:
             mine = sorted(self.bins[donor], key=lambda i: -self.sizes[i])
-            for item in mine:  # move into the tightest gap
-                room = np.where((self.gap >= self.sizes[item]) & (np.arange(len(self.gap)) != donor) & (self.gap < self.capacity), self.gap, 1 << 40)
+            for item in mine:  # move into the tightest gap, if that bin is then fuller than the donor was
+                s = self.sizes[item]
+                fine = (self.gap >= s) & (self.gap - s < self.gap[donor]) & (self.gap < self.capacity)
+                fine[donor] = False
+                room = np.where(fine, self.gap, 1 << 40)
                 to = int(np.argmin(room))
                 if room[to] < 1 << 40:
-                    self._put(item, to)
+                    self._exchange(donor, [item], to, [])
                     break
             else:
                 best, step = 0, None
@@ -200,10 +210,7 @@ class _Search:
                 if step is None:
                     return False
                 given, got, other = step
-                for item in got:
-                    self._put(item, donor)
-                for item in given:
-                    self._put(item, other)
+                self._exchange(donor, given, other, got)
         return True
 
 

@@ -116,6 +116,47 @@ def test_local_search_beats_best_fit():
     assert max(int(many[b].sum()) for b in packed) <= 2048
 
 
+def test_every_step_raises_squared_fill(monkeypatch):
+    plain, steps = packing._Search._exchange, []
+
+    def watched(self, *step):
+        before = ((self.capacity - self.gap) ** 2).sum()
+        plain(self, *step)
+        assert ((self.capacity - self.gap) ** 2).sum() > before and self.gap.min() >= 0
+        steps.append(step)
+
+    monkeypatch.setattr(packing._Search, "_exchange", watched)
+    rng = np.random.default_rng(0)
+    for low, high, most in ((500, 900, 3_252), (400, 700, 2_453)):
+        total = 0
+        for _ in range(6):
+            sizes = rng.integers(low, high, 1_500)
+            packed = packing.local_search(packing.best_fit(sizes, 2048), sizes, 2048)
+            assert sorted(i for b in packed for i in b) == list(range(1_500)) and max(int(sizes[b].sum()) for b in packed) <= 2048
+            total += len(packed)
+        assert total <= most
+    assert steps
+
+
+def test_local_search_reaches_the_optimum_of_small_cases():
+    def fewest(sizes, capacity, bins=()):
+        if not len(sizes):
+            return len(bins)
+        rest, best = sizes[1:], fewest(sizes[1:], capacity, (*bins, sizes[0]))
+        for k, b in enumerate(bins):
+            if b + sizes[0] <= capacity and b not in bins[:k]:
+                best = min(best, fewest(rest, capacity, (*bins[:k], b + sizes[0], *bins[k + 1 :])))
+        return best
+
+    rng, found, best = np.random.default_rng(1), 0, 0
+    for _ in range(40):
+        sizes = np.sort(rng.integers(5, 40, 8))[::-1]
+        n, most = len(packing.local_search(packing.best_fit(sizes, 60), sizes, 60)), fewest(sizes.tolist(), 60)
+        assert most <= n <= most + 1
+        found, best = found + n, best + most
+    assert found <= best + 2
+
+
 def test_sequences_hold_the_ids(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, "four " * 3_000)], DOCS)
     plan = packing.pack_documents(docs)

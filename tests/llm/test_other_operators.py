@@ -1,6 +1,10 @@
 """Chat formatting, licences, packing, mixing, vector search, secrets and the pipeline."""
 
 import hashlib
+import os
+import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -73,15 +77,73 @@ def test_templates_that_look_far_back(spark):
 
 
 def test_licence_digests(spark):
-    known = [("L", "Copyright 2020 A\nThe licence: use, and share!"), ("K", "Other   words."), ("Z", "...")]
+    known = [("L", "Copyright 2020 A\nThe licence: use, and share!"), ("K", "Other   words."), ("Z", "..."), ("F", "and/or")]
     rows = [(1, "the LICENSE use and share"), (2, "(c) me\nThe license -- use, and share"), (3, "x\nother words\n"), (3, "x\nother words\n"),
-            (4, None), (5, ""), (None, "Other words"), (6, "the license use and share it")]
+            (4, None), (5, ""), (None, "Other words"), (6, "the license use and share it"), (7, "# Copyright 2021 B\n# The\n#\n# licence; use and/or\n# share\nx"),
+            (8, "and\nor\nx"), (9, "license\n" * 5_000 + "other\nwords\n" * 3)]
     got = licences.scan_licences(spark.createDataFrame([(*r, 1) for r in rows], f"{DOCS}, digest int"), known).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(
-        [(1, "text", None, "L"), (2, "text", None, "L"), (2, "line", 1, "L"), (3, "line", 1, "K"), (3, "line", 1, "K"), (None, "text", None, "K")], key=str)
+    want = [(1, "text", None, None, "L"), (2, "text", None, None, "L"), (2, "line", 1, 1, "L"), (3, "line", 1, 1, "K"), (3, "line", 1, 1, "K"),
+            (None, "text", None, None, "K"), (7, "run", 1, 4, "L"), (8, "line", 0, 0, "F"), (8, "run", 0, 1, "F")]
+    want += [(9, "run", 5_000 + 2 * k, 5_001 + 2 * k, "K") for k in range(3)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert licences.scan_licences(spark.createDataFrame([], DOCS), known).count() == 0
 
 
+def test_licence_units_equal_every_run_of_lines(spark):
+    rng = random.Random(3)
+    known = [("A", "sub licence the per cent"), ("B", "the copyright owner and/or version"), ("C", "non commercial"), ("D", "a version of the licence"), ("E", "and")]
+    words = "sub license licence the per cent percent sublicense copyright owner holder and or and/or version v non commercial noncommercial a of (c) -- \n \n \n".split(" ")
+    spelt = [*(t for _, t in known), "sublicense the percent", "sub license the per cent", "the copyright holder and v", "noncommercial", "a v of the license"]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 14)))) for k in range(300)]
+    for k in range(300, 600):
+        parts = [rng.choice(words), *rng.choice(spelt).split(" "), rng.choice(words), *rng.choice(spelt).split(" ")]
+        docs.append((k, "".join(x + rng.choice([" ", "\n", "\n\n# ", " -- "]) for x in parts)))
+    got = licences.scan_licences(spark.createDataFrame(docs, DOCS), known).collect()
+
+    def units(text):
+        yield "text", None, None, text
+        lines = text.split("\n")
+        full = [bool(form(x)) for x in lines]
+        for i in range(len(lines) if len(lines) > 1 else 0):
+            for j in range(i, len(lines)):
+                if full[i] and full[j]:
+                    yield "line" if i == j else "run", i, j, "\n".join(lines[i : j + 1])
+
+    def form(text):
+        text = re.sub("(?m)" + licences._LINE_NOTICE.pattern, "", text.lower())
+        text = " " + " ".join(licences._WORD.findall(text)) + " "
+        for a, b in licences.SPELLINGS:
+            text = text.replace(f" {a} ", f" {b} ")
+        return text.strip(" ")
+
+    forms = {form(t): i for i, t in known}
+    want = [(d, u, i, j, forms[form(part)]) for d, text in docs for u, i, j, part in units(text) if form(part) in forms]
+    assert {r[1] for r in want} == {"text", "line", "run"}
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_known_licences_in_wrapped_and_commented_form(spark):
+    texts = {i: t for i, t in licences.KNOWN if len(t) > 300}
+    docs, want = [], {}
+    for k, (name, text) in enumerate(sorted(texts.items())):
+        for width, mark in ((30, ""), (71, "# "), (100, " * ")):
+            wrapped = "\n".join(mark + x for p in text.split("\n") for x in textwrap.wrap(p, width, break_on_hyphens=False))
+            key = len(docs)
+            docs.append((key, f"import x\n{mark}Copyright (c) 2019 Some One\n{wrapped}\n\nx = 1 + {key}"))
+            want[key] = name
+    got = {r.doc_id: r.license_id for r in licences.scan_licences(spark.createDataFrame(docs, DOCS)).where("unit = 'run'").collect()}
+    assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts installed")
+def test_digests_of_whole_licences(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(n, open(f"/usr/share/common-licenses/{n}", encoding="utf-8").read()) for n in names]
+    docs = [(k, t if k % 2 else "\n".join(f"// {x}" for x in t.upper().split("\n"))) for k, (_, t) in enumerate(texts)]
+    got = licences.scan_licences(spark.createDataFrame(docs, DOCS)).where("unit = 'text'").collect()
+    assert {r.doc_id: r.license_id for r in got} == {k: names[n] for k, (n, _) in enumerate(texts)}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

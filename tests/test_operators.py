@@ -293,6 +293,32 @@ def test_neighbours_against_brute_force_over_blocks(spark):
         assert [got[i][r] for r in range(1, 5)] == [j for _, j in order[:4]]
 
 
+@pytest.mark.parametrize("block_rows", [7, 64, 2048])
+def test_neighbours_of_copies_and_clusters(spark, block_rows):
+    rng = np.random.default_rng(block_rows)
+    x = np.concatenate([rng.normal(size=(150, 3)), 50 + rng.normal(size=(60, 3)), np.repeat([[1.0, 2.0, 3.0]], 90, axis=0), rng.integers(0, 3, (60, 3)), [[1e6, 0, 0]]])
+    ids = [f"{i:04d}" for i in rng.permutation(len(x))]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [("bad", [float("nan"), 0.0, 0.0]), ("far", [float("inf"), 0.0, 0.0])]
+    got = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, "_id string, _x array<double>"), 4, block_rows).collect():
+        got.setdefault(r["_id"], {})[r["rank"]] = r["_other"]
+        assert tuple(r["_nx"]) == tuple(x[ids.index(r["_other"])])
+    assert set(got) == set(ids)
+    for a, i in enumerate(ids):
+        distance = np.zeros(len(x))
+        for j in range(3):
+            distance += (x[a, j] - x[:, j]) ** 2
+        order = sorted((d, o) for d, o in zip(distance.tolist(), ids) if o != i)
+        assert [got[i][r] for r in range(1, 5)] == [o for _, o in order[:4]]
+
+
+def test_neighbours_of_none_and_one(spark):
+    empty = spark.createDataFrame([], "_id string, _x array<double>")
+    assert nearest_neighbours(empty, 3).count() == 0
+    one = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "_id string, _x array<double>")
+    assert sorted((r["_id"], r["_other"], r["rank"]) for r in nearest_neighbours(one, 3).collect()) == [("a", "b", 1), ("b", "a", 1)]
+
+
 def test_autoencoder_gradient_matches_differences():
     rng = np.random.default_rng(0)
     model = Autoencoder.initial(layer_sizes(5, (4, 3)), rng.uniform(0.5, 2, 5))

@@ -191,6 +191,28 @@ def h11(spark, sf_dir):
     return flags.select(*KEYS, F.regexp_extract("flag", r":(\w+)\(", 1).alias("rule"))
 
 
+# Flag texts of the oracle, one per built-in rule: printf template and its values over `base`.
+_TEXT_SQL = {
+    "brute_force": ("port=%d, syns=%d, mean_pkt=%.0fB", "dst_port, CAST(syn_pkts AS BIGINT), mean_pkt"),
+    "slowloris": ("dur=%.1fs, bps=%.1f, pkts=%d, fin=%d", "secs, bps, CAST(pkts AS BIGINT), CAST(fin_pkts AS BIGINT)"),
+    "syn_flood": ("ratio=%.2f, syns=%d", "syn_pkts / pkts, CAST(syn_pkts AS BIGINT)"),
+    "portscan": ("fwd_pkts=%d, syns=%d, bytes=%d", "CAST(fwd_pkts AS BIGINT), CAST(syn_pkts AS BIGINT), CAST(bytes AS BIGINT)"),
+    "icmp_flood": ("pkts=%d", "CAST(pkts AS BIGINT)"),
+    "empty_udp_probe": ("bytes=%d, bwd_pkts=0", "CAST(bytes AS BIGINT)"),
+    "web_scanner": ("pps=%.1f, urg_ratio=%.3f", "pps, urg_pkts / pkts"),
+    "injection_tool": ("psh_ratio=%.2f, pkts=%d", "psh_pkts / pkts, CAST(pkts AS BIGINT)"),
+    "http_probe": ("bps=%.1f, bytes=%d, dur=%.2fs", "bps, CAST(bytes AS BIGINT), secs"),
+}
+
+
+@query("h11_flag_texts", f"""{WITH_BASE}
+{" UNION ALL ".join(
+    f"SELECT {_K}, '_rule_{n}:{n}(' || printf('{t}', {v}) || ')' AS flag FROM base WHERE NOT white AND {_RULE_SQL[n]}"
+    for n, (t, v) in _TEXT_SQL.items())}""")
+def h11_texts(spark, sf_dir):
+    return scored_flows(spark, sf_dir).select(*KEYS, F.explode("heuristic_flags").alias("flag"))
+
+
 @query("h12_explain", f"""{WITH_BASE}
 {" UNION ALL ".join(
     f"SELECT {_K}, '_rule_{n}' AS rule, {c} AS fired, CASE WHEN {c} THEN '{_LEVELS.get(n, 'SUSPECT')}' END AS verdict FROM base"

@@ -36,6 +36,23 @@ def ratio(num: Column, den: Column, default: float | None = 0.0) -> Column:
     return safe if default is None else safe.otherwise(F.lit(float(default)))
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """``x``, moved to its rounding where text of ``digits`` places would otherwise round a tie up.
+
+    The formatter rounds the shortest text of a double half up; wanted is the exact value, half to even. They differ only
+    where the double is the nearest one to a tie; the sign of its exact distance from the tie comes from a split product.
+    """
+    scale = 10.0 ** digits
+    below = F.floor(x * scale)
+    twice = below * 2 + 1
+    tie = (F.abs(x) < 1e12) & (x == twice / F.lit(2 * scale))
+    split = x * 134217729.0
+    high = split - (split - x)
+    rest = (high * (2 * scale) - twice) + (x - high) * (2 * scale)
+    up = (rest > 0) | ((rest == 0) & (F.pmod(below, F.lit(2)) == 1))
+    return F.when(tie, (below + up.cast("int")) / F.lit(scale)).otherwise(x)
+
+
 def divide_or_null(num: Column, den: Column) -> Column:
     """Division where a zero denominator gives NULL (ANSI mode would raise)."""
     return F.try_divide(num.cast("double"), den.cast("double"))

@@ -7,13 +7,14 @@ user rule is written the same way as a built-in one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, DetectionConfig
-from ..functions.numeric import col, compute_once, finite_column, ratio
+from ..functions.numeric import col, compute_once, finite_column, half_even, ratio
 from ..functions.verdicts import severity
 from ..schema import RULE_INPUT_ALIASES, SEVERITY
 
@@ -112,7 +113,9 @@ def with_rule_inputs(df: DataFrame) -> DataFrame:
 
 
 def _text(template: str, *values: Column) -> Column:
-    return F.format_string(template, *values)
+    """``template`` filled; numbers with ``%.<digits>f`` are rounded half to even on their exact value."""
+    places = re.findall(r"%(?:\.(\d)f|d)", template)
+    return F.format_string(template, *[half_even(v, int(p)) if p else v for v, p in zip(values, places, strict=True)])
 
 
 def built_in_rules(cfg: DetectionConfig = DEFAULT) -> list[Rule]:
@@ -128,6 +131,7 @@ def built_in_rules(cfg: DetectionConfig = DEFAULT) -> list[Rule]:
     def whole(x: Column) -> Column:
         return F.coalesce(x.try_cast("bigint"), F.lit(0))
 
+    # Names, levels and flag texts.
     return [
         Rule(
             "brute_force", "ATTACK",

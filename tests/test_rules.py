@@ -1,9 +1,12 @@
 """Golden rule and fusion cases, thresholds at their boundaries, upgrade-only invariant."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowwarden.config import DetectionConfig
+from flowwarden.functions.numeric import half_even
 from flowwarden.operators.fusion import fuse
 from flowwarden.operators.rules import Rule, apply_rules, explain_rules
 from flowwarden.plans.scoring import score_flows
@@ -154,3 +157,12 @@ def test_scoring_keeps_rows_and_skips_whitelisted(spark):
     assert got["a"]["verdict"] == "SUSPECT" and got["a"]["action"] == "alert"
     assert (got["b"]["verdict"], got["b"]["source"], got["b"]["confidence"], got["b"]["heuristic_flags"]) == ("BENIGN", "WHITELIST", 1.0, [])
     assert got["c"]["verdict"] == "BENIGN" and len(got) == 3
+
+
+def test_texts_round_exact_values_half_to_even(spark):
+    rng = random.Random(0)
+    values = [0.125, 0.375, 0.165, 0.145, 0.155, 2.5, 3.5, 0.5, -0.125, -2.5, 1.005, 1e15, 0.0, 0.045, 8.345]
+    values += [rng.randrange(20_000) / rng.choice([8, 16, 40, 200, 2000]) for _ in range(3_000)] + [rng.random() * 1e6 for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select("x", *[F.format_string(f"%.{d}f", half_even(F.col("x"), d)).alias(f"t{d}") for d in range(4)]).collect()
+    assert [tuple(r) for r in got] == [(v, *(f"{v:.{d}f}" for d in range(4))) for v in values]

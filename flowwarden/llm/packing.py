@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,6 @@ from .store import Batches, session_of, stored, text_of
 CAPACITY = 2048
 END = 0
 GROUP_PIECES = 50_000
-PATIENCE = 200
-PASSES = 3
 
 
 def tokenizer_path() -> str:
@@ -67,14 +68,15 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, deal[, ids]) per piece; ``deal`` is a random number."""
-    ids_too = ", ids binary" if keep_ids else ""
+    """(doc_id, piece, start, length, ids_crc32, deal[, key, ids]) per piece; ``deal`` is a random number, ``key`` one of its own."""
+    ids_too = ", key long, ids binary" if keep_ids else ""
 
     def run(batches: Batches) -> Batches:
         encode = encoder(path)
         task = TaskContext.get()
         seed = task.partitionId() if task else 0
         rng = np.random.default_rng(seed)
+        key = seed << 40
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -88,8 +90,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids:
             arrays = [pa.array(c, t) for c, t in zip(out, types)]
             arrays.append(pa.array(rng.integers(0, 1 << 62, len(out[0])), pa.int64()))
             if keep_ids:
-                arrays.append(pa.array(out[5], pa.binary()))
-                names.append("ids")
+                arrays += [pa.array(np.arange(key, key + len(out[0]))), pa.array(out[5], pa.binary())]
+                names += ["key", "ids"]
+                key += len(out[0])
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
@@ -121,122 +124,162 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Index:
+    """Bins by a number that they hold, each list sorted by gap; ``room`` is the largest gap per number."""
+
+    def __init__(self, capacity: int):
+        self.bins: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        self.room = np.full(capacity + 1, -1, dtype=np.int64)
+
+    def add(self, number: int, gap: int, b: int) -> None:
+        insort(self.bins[number], (gap, b))
+        self.room[number] = self.bins[number][-1][0]
+
+    def drop(self, number: int, gap: int, b: int) -> None:
+        entries = self.bins[number]
+        del entries[bisect_left(entries, (gap, b))]
+        self.room[number] = entries[-1][0] if entries else -1
+
+    def exchange(self, total: int, donor_gap: int) -> tuple[int, int, int]:
+        """(gain, number, bin): the largest gain of a bin that gives ``number`` for ``total`` and is then fuller than the donor was."""
+        for number in (np.flatnonzero(self.room[1:total] >= np.arange(total - 1, 0, -1)) + 1).tolist():
+            gain, entries = total - number, self.bins[number]
+            k = bisect_left(entries, (gain, -1))
+            if entries[k][0] < donor_gap + gain:
+                return gain, number, entries[k][1]
+        return 0, 0, -1
+
+
 class _Search:
     """Local search over the underfull bins of one group."""
 
     def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int):
-        self.sizes, self.capacity, self.steps = sizes, capacity, 0
+        self.size, self.capacity, self.steps = sizes.tolist(), capacity, 0
         self.bins = [list(b) for b in bins]
-        self.gap = np.array([capacity - int(sizes[b].sum()) for b in self.bins])
-        self.version = np.zeros(len(bins), dtype=np.int64)
-        self.items = np.array([i for b in self.bins for i in b], dtype=np.int64)
-        self.size = sizes[self.items]
-        self.place = {int(i): k for k, i in enumerate(self.items)}
-        self.bin = np.repeat(np.arange(len(self.bins)), [len(b) for b in self.bins])
-        self._index_pairs()
-
-    def _index_pairs(self) -> None:
-        """Sums of two items of one bin, for two-for-one exchanges; entries of bins that change later are skipped."""
-        total, where, first, second = [], [], [], []
-        for b, items in enumerate(self.bins):
-            if 2 <= len(items) <= 24 and self.gap[b] > 0:
-                for j, x in enumerate(items):
-                    for y in items[j + 1 :]:
-                        total.append(int(self.sizes[x] + self.sizes[y]))
-                        where.append(b)
-                        first.append(x)
-                        second.append(y)
-        self.pair_sum, self.pair_bin = np.array(total, dtype=np.int64), np.array(where, dtype=np.int64)
-        self.pair_items = (first, second)
-        self.pair_version = self.version[self.pair_bin]
-
-    def _put(self, item: int, to: int) -> None:
-        self.steps += 1
-        k = self.place[item]
-        source, s = int(self.bin[k]), int(self.size[k])
-        self.bins[source].remove(item)
-        self.bins[to].append(item)
-        self.gap[source] += s
-        self.gap[to] -= s
-        self.bin[k] = to
-        self.version[source] += 1
-        self.version[to] += 1
+        self.gap = np.array([capacity - sum(self.size[i] for i in b) for b in self.bins], dtype=np.int64)
+        self.spare = int(self.gap.sum())
+        self.free: list[tuple[int, int]] = []
+        self.waiting: list[tuple[int, int]] = []
+        self.singles, self.pairs = _Index(capacity), _Index(capacity)
+        for b in range(len(self.bins)):
+            self._enter(b)
+
+    def _numbers(self, b: int) -> tuple[list[int], set[int]]:
+        """Distinct sizes of a bin, largest first, and distinct sums of two of its items; the capacity bounds both."""
+        count = Counter(self.size[i] for i in self.bins[b])
+        distinct = sorted(count, reverse=True)
+        sums = {x + y for j, x in enumerate(distinct) for y in distinct[j + 1 :]}
+        return distinct, sums | {2 * x for x in distinct if count[x] > 1}
+
+    def _items(self, b: int, total: int, two: bool) -> list[int]:
+        """One item of bin ``b`` of size ``total``, or two items of that sum."""
+        at: dict[int, int] = {}
+        for i in self.bins[b]:
+            if not two and self.size[i] == total:
+                return [i]
+            if two and total - self.size[i] in at:
+                return [i, at[total - self.size[i]]]
+            at[self.size[i]] = i
+        raise ValueError("the index names a bin without such items")
+
+    def _enter(self, b: int) -> None:
+        if self.bins[b] and self.gap[b] > 0:
+            gap, (singles, pairs) = int(self.gap[b]), self._numbers(b)
+            insort(self.free, (gap, b))
+            for n in singles:
+                self.singles.add(n, gap, b)
+            for n in pairs:
+                self.pairs.add(n, gap, b)
+
+    def _leave(self, b: int) -> None:
+        if self.bins[b] and self.gap[b] > 0:
+            gap, (singles, pairs) = int(self.gap[b]), self._numbers(b)
+            del self.free[bisect_left(self.free, (gap, b))]
+            for n in singles:
+                self.singles.drop(n, gap, b)
+            for n in pairs:
+                self.pairs.drop(n, gap, b)
 
     def _exchange(self, donor: int, given: list[int], other: int, got: list[int]) -> None:
         """One step: ``given`` go from ``donor`` to ``other``, ``got`` come back (none of them: a move)."""
-        for item in got:
-            self._put(item, donor)
-        for item in given:
-            self._put(item, other)
-
-    def _best(self, total: int, sums: np.ndarray, where: np.ndarray, donor: int, usable) -> tuple[int, int]:
-        """(gain, entry): the exchange of ``total`` against a smaller sum that fills some bin most."""
-        gain = total - sums
-        fill = self.capacity - self.gap
-        fine = (gain > 0) & (gain <= self.gap[where]) & (where != donor) & (fill[where] + gain > fill[donor]) & usable
-        gain = np.where(fine, gain, 0)
-        k = int(np.argmax(gain)) if len(gain) else 0
-        return (int(gain[k]), k) if len(gain) else (0, 0)
-
-    def empty(self, donor: int) -> bool:
-        """Improve until the donor is empty; False if no step is left."""
+        self._leave(other)
+        self.bins[donor] = [i for i in self.bins[donor] if i not in given] + got
+        self.bins[other] = [i for i in self.bins[other] if i not in got] + given
+        gain = sum(self.size[i] for i in given) - sum(self.size[i] for i in got)
+        self.gap[donor] += gain
+        self.gap[other] -= gain
+        if not self.bins[donor]:
+            self.spare -= self.capacity
+        self.steps += 1
+        self._enter(other)
+
+    def _step(self, donor: int) -> int | None:
+        """The move into the tightest gap, else the exchange of largest gain, that raises squared fill: the other bin, None without one."""
+        gap, (singles, pairs) = int(self.gap[donor]), self._numbers(donor)
+        for size in singles:
+            k = bisect_left(self.free, (size, -1))
+            if k < len(self.free) and self.free[k][0] < gap + size:
+                other = self.free[k][1]
+                self._exchange(donor, self._items(donor, size, False), other, [])
+                return other
+        best, step = 0, None
+        for totals, two, index, back in ((singles, False, self.singles, False), (singles, False, self.pairs, True), (pairs, True, self.singles, False)):
+            for total in totals:
+                gain, number, other = index.exchange(total, gap)
+                if gain > best:
+                    best, step = gain, (total, two, other, number, back)
+        if step is None:
+            return None
+        total, two, other, number, back = step
+        self._exchange(donor, self._items(donor, total, two), other, self._items(other, number, back))
+        return other
+
+    def empty(self, donor: int, again: bool) -> None:
+        """Improve until the donor is empty or no step is left for it; with ``again`` bins that change wait as donors at their new gap."""
+        self._leave(donor)
         while self.bins[donor]:
-            mine = sorted(self.bins[donor], key=lambda i: -self.sizes[i])
-            for item in mine:  # move into the tightest gap, if that bin is then fuller than the donor was
-                s = self.sizes[item]
-                fine = (self.gap >= s) & (self.gap - s < self.gap[donor]) & (self.gap < self.capacity)
-                fine[donor] = False
-                room = np.where(fine, self.gap, 1 << 40)
-                to = int(np.argmin(room))
-                if room[to] < 1 << 40:
-                    self._exchange(donor, [item], to, [])
-                    break
-            else:
-                best, step = 0, None
-                for item in mine:
-                    s = int(self.sizes[item])
-                    gain, k = self._best(s, self.size, self.bin, donor, True)
-                    if gain > best:
-                        best, step = gain, ([item], [int(self.items[k])], int(self.bin[k]))
-                    gain, k = self._best(s, self.pair_sum, self.pair_bin, donor, self.pair_version == self.version[self.pair_bin])
-                    if gain > best:
-                        best, step = gain, ([item], [self.pair_items[0][k], self.pair_items[1][k]], int(self.pair_bin[k]))
-                if len(mine) <= 24:
-                    for j, x in enumerate(mine):
-                        for y in mine[j + 1 :]:
-                            gain, k = self._best(int(self.sizes[x] + self.sizes[y]), self.size, self.bin, donor, True)
-                            if gain > best:
-                                best, step = gain, ([x, y], [int(self.items[k])], int(self.bin[k]))
-                if step is None:
-                    return False
-                given, got, other = step
-                self._exchange(donor, given, other, got)
-        return True
-
-
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, patience: int = PATIENCE) -> list[list[int]]:
-    """Fewer bins: the emptiest are taken apart one after the other.
-
-    A pass ends after ``patience`` bins that cannot be emptied; their exchanges open gaps for the next pass.
+            other = self._step(donor)
+            if other is None:
+                break
+            if again and self.gap[other] > 0:
+                heappush(self.waiting, (-int(self.gap[other]), other))
+        self._enter(donor)
+
+
+def _searched(bins: list[list[int]], sizes: np.ndarray, capacity: int, fresh: bool) -> list[list[int]]:
+    """``bins`` after passes over all of them, each the donor once a pass, until a pass makes no step.
+
+    The emptiest come first: as they stood when the pass began, or (``fresh``) as they stand now.
+    """
+    search = _Search(bins, sizes, capacity)
+    steps = -1
+    while search.spare >= capacity and steps != search.steps:
+        steps, tried = search.steps, set()
+        search.waiting = [(-int(g), b) for b, g in enumerate(search.gap) if search.bins[b] and g > 0]
+        heapify(search.waiting)
+        while search.waiting and search.spare >= capacity:
+            gap, donor = heappop(search.waiting)
+            if donor not in tried and search.bins[donor] and (not fresh or -gap == search.gap[donor] > 0):
+                tried.add(donor)
+                search.empty(donor, fresh)
+    return [b for b in search.bins if b]
+
+
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Fewer bins: the emptiest are taken apart one after the other, until no step raises squared fill.
+
+    It ends earlier only where the gaps together are smaller than one bin: no packing has fewer bins then.
+    Where two orders of donors end in different packings, the one of fewer bins is taken.
     """
-    fills = np.array([int(sizes[b].sum()) for b in bins])
+    fills = [int(sizes[b].sum()) for b in bins]
     full = [b for b, f in zip(bins, fills) if f == capacity]
     rest = [b for b, f in zip(bins, fills) if f < capacity]
-    search = _Search(rest, sizes, capacity)
-    for _ in range(PASSES):
-        failed, steps = 0, search.steps
-        for donor in sorted((b for b in range(len(rest)) if search.bins[b]), key=lambda b: -search.gap[b]):
-            spare = int(search.gap[[b for b in range(len(rest)) if search.bins[b]]].sum()) if failed % 50 == 0 else spare
-            if failed >= patience or spare < capacity:
-                break
-            failed += not search.empty(donor)
-        if search.steps == steps:
-            break
-        search._index_pairs()
-    return full + [b for b in search.bins if b]
+    found = _searched(rest, sizes, capacity, True)
+    least = -(-sum(f for f in fills if f < capacity) // capacity)
+    return full + (found if len(found) == least else min(found, _searched(rest, sizes, capacity, False), key=len))
 
 
-def _pack_group(capacity: int):
+def _pack_group(capacity: int, columns: list[str]):
     def run(batches: Batches) -> Batches:
         rows = [b for b in batches if b.num_rows]
         if not rows:
@@ -256,33 +299,41 @@ def _pack_group(capacity: int):
             first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
             before = (ends - sizes[order])[first]
             offset = ends - sizes[order] - np.repeat(before, np.diff(np.append(first, len(order))))
-            part = part.take(pa.array(order)).select(["doc_id", "piece", "start", "length", "ids_crc32"])
+            part = part.take(pa.array(order)).select(columns)
             part = part.append_column("sequence_id", pa.array((g << 32) + number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
             yield from part.combine_chunks().to_batches(max_chunksize=20_000)
 
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece of ``docs`` (doc_id, text).
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) per piece of ``docs`` (doc_id, text).
 
     A document is its ids followed by id 0 (NULL and empty texts: id 0 alone); documents longer than
     ``capacity`` are cut into pieces of that length, the first of which may be shorter. Every piece has one
     place in one sequence, gapless from offset 0. Repeated rows and NULL ids are packed like others. An empty
-    table gives an empty result.
+    table gives an empty result. With ``keep_ids`` each piece carries its ids (little-endian unsigned 32-bit);
+    they join the placed pieces and never pass through a packing task.
     """
     session_of(docs)
-    pieces = stored(token_pieces(docs, path or tokenizer_path(), capacity), "pieces")
+    pieces = stored(token_pieces(docs, path or tokenizer_path(), capacity, keep_ids), "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
-    dealt = pieces.withColumn("part", F.pmod("deal", F.lit(groups)).cast("int")).drop("deal")
-    return dealt.repartitionById(groups, "part").mapInArrow(
-        _pack_group(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["key"] * keep_ids]
+    dealt = pieces.select(*columns, F.pmod("deal", F.lit(groups)).cast("int").alias("part"))
+    key = "key long, " if keep_ids else ""
+    placed = dealt.repartitionById(groups, "part").mapInArrow(
+        _pack_group(capacity, columns), f"doc_id long, piece int, start long, length long, ids_crc32 long, {key}sequence_id long, offset long")
+    return placed.join(pieces.select("key", "ids"), "key").drop("key") if keep_ids else placed
 
 
-def sequences(docs: DataFrame, plan: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(sequence_id, ids): the packed sequences as little-endian unsigned 32-bit ids; doc_id must be unique and not NULL."""
-    ids = token_pieces(docs, path or tokenizer_path(), capacity, keep_ids=True).select("doc_id", "piece", "ids")
-    placed = plan.select("doc_id", "piece", "sequence_id", "offset").join(ids, ["doc_id", "piece"])
+def joined_sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids): the sequences of pieces that carry their ids, as little-endian unsigned 32-bit ids."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return placed.groupBy("sequence_id").agg(joined.alias("ids"))
+    return packed.groupBy("sequence_id").agg(joined.alias("ids"))
+
+
+def sequences(docs: DataFrame, plan: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """(sequence_id, ids) of a plan without ids, from the texts again; doc_id must be unique and not NULL."""
+    ids = token_pieces(docs, path or tokenizer_path(), capacity, keep_ids=True).select("doc_id", "piece", "ids")
+    return joined_sequences(plan.select("doc_id", "piece", "sequence_id", "offset").join(ids, ["doc_id", "piece"]))

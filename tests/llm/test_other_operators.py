@@ -219,12 +219,47 @@ def test_local_search_reaches_the_optimum_of_small_cases():
     assert found <= best + 2
 
 
+def test_local_search_ends_where_no_step_raises_squared_fill():
+    """Moves, one-for-one and two-for-one exchanges tried by brute force on what the search left."""
+    rng = np.random.default_rng(3)
+    for low, high, n, capacity in ((5, 40, 30, 60), (1, 12, 200, 64), (20, 33, 40, 100)):
+        for _ in range(8):
+            sizes = rng.integers(low, high, n)
+            bins = [sizes[b].tolist() for b in packing.local_search(packing.best_fit(sizes, capacity), sizes, capacity)]
+            fills = [sum(b) for b in bins]
+            if len(bins) * capacity - sum(fills) < capacity:
+                continue  # fewer bins cannot hold them
+            for d, donor in enumerate(bins):
+                given = {*donor, *(x + y for j, x in enumerate(donor) for y in donor[j + 1 :])}
+                for o, other in enumerate(bins):
+                    pairs = {x + y for j, x in enumerate(other) for y in other[j + 1 :]}
+                    gains = {x - y for x in donor for y in {0, *other, *pairs}} | {x - y for x in given for y in other}
+                    assert o == d or not any(0 < g <= capacity - fills[o] and fills[o] + g > fills[d] for g in gains)
+
+
+def test_two_for_one_exchanges_of_bins_with_many_pieces():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(20, 60, 20_000)  # about 50 pieces a bin
+    first = packing.best_fit(sizes, 2048)
+    packed = packing.local_search(first, sizes, 2048)
+    assert sorted(i for b in packed for i in b) == list(range(len(sizes))) and max(int(sizes[b].sum()) for b in packed) <= 2048
+    assert len(packed) == -(-int(sizes.sum()) // 2048) <= len(first)
+
+
 def test_sequences_hold_the_ids(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, "four " * 3_000)], DOCS)
     plan = packing.pack_documents(docs)
     got = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in packing.sequences(docs, plan).collect()}
     for r in plan.collect():
         assert zlib.crc32(got[r.sequence_id][r.offset : r.offset + r.length].tobytes()) == r.ids_crc32
+    # Repeated rows, NULL ids and texts: the pieces carry their ids.
+    copies = docs.unionByName(docs).unionByName(spark.createDataFrame([(None, None), (None, "four five"), (1, "cut")], DOCS))
+    packed = packing.pack_documents(copies.repartition(3), keep_ids=True)
+    rows = packed.collect()
+    got = {r.sequence_id: bytes(r.ids) for r in packing.joined_sequences(spark.createDataFrame(rows, packed.schema)).collect()}
+    assert len(rows) == 2 * plan.count() + 3 and sum(map(len, got.values())) == 4 * sum(r.length for r in rows)
+    for r in rows:
+        assert zlib.crc32(r.ids) == r.ids_crc32 and got[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] == r.ids
 
 
 def test_mixing(spark):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import packets
 from .jaccard_join import CHUNK, are_similar
-from .store import Batches, key_of_doc, session_of, shuffle_partitions, stored, text_of, whole_row
+from .store import Batches, session_of, shuffle_partitions, stored, text_of, whole_row
 from .words import first_lines, mix, texts_of, word_hashes
 
 BUCKETS = 1 << 20
@@ -32,10 +32,19 @@ _LINE_BITS, _TEXT_BITS = 28, 35
 _U = np.uint64
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """(id, text_key, text): text_key tells different texts of one id apart and orders them."""
+def _keys(docs: DataFrame) -> list:
+    """id and text_key, which tells different texts of one id apart and orders them.
+
+    Texts of NULL id have ids of their own below all others, by a second hash: with 97 bits together they stay
+    apart however many there are.
+    """
     text_key = F.pmod(F.xxhash64(text_of(docs)), F.lit(1 << _TEXT_BITS))
-    return docs.select(key_of_doc().alias("id"), text_key.alias("text_key"), text_of(docs).alias("text"))
+    own = F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(F.lit("id"), text_of(docs)), 2)
+    return [F.coalesce(F.col("doc_id").cast("long"), own).alias("id"), text_key.alias("text_key")]
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(*_keys(docs), text_of(docs).alias("text"))
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
@@ -460,8 +469,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     spark = session_of(docs)
     gone = stored(removed_lines(docs, percent), "gone")
-    keyed = docs.select(
-        whole_row(docs), key_of_doc().alias("id"), F.pmod(F.xxhash64(text_of(docs)), F.lit(1 << _TEXT_BITS)).alias("text_key"))
+    keyed = docs.select(whole_row(docs), *_keys(docs))
     # Texts that keep all lines need not travel: a bitmap of fixed size tells most of them.
     changed = spark.sparkContext.broadcast(bit_filter(gone.select("id", "text_key").mapInArrow(_bits_of_pairs, "bit long")))
 

@@ -122,6 +122,18 @@ def test_line_dedup_edges(spark):
     assert dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_texts_without_id_stay_apart(spark, monkeypatch):
+    """Texts of NULL id whose text keys collide keep their own lines."""
+    from flowwarden.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "_TEXT_BITS", 1)
+    rows = [(None, f"alpha{d} beta{d} gamma{d}\nsame words everywhere\ndelta{d}") for d in range(12)] + [(1, "same words everywhere")]
+    got = dedup_lines(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert sum(r.n_removed for r in got) == 12 and sorted(r.n_removed for r in got if r.doc_id is None) == [0] + [1] * 11
+    assert {t.split("\n")[0] for d, t in rows if d is None} == {r.text.split("\n")[0] for r in got if r.doc_id is None}
+    assert all(r.text == "" for r in got if r.doc_id == 1)
+
+
 def test_line_dedup_of_one_long_line(spark):
     long = " ".join(f"t{i}" for i in range(70_000))
     near = " ".join(f"t{i}" for i in range(60_000))

@@ -394,6 +394,43 @@ def test_pipeline_stages(spark):
     rows = out.collect()
     assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(out.columns) and rows
     assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.select("doc_id").collect()}
+    # Each piece has its ids, and the pieces of a sequence lie side by side.
+    by = {}
+    for r in rows:
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for placed in by.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(placed)]).tolist()]
+        assert [o for o, _ in sorted(placed)] == ends[:-1] and ends[-1] <= 2048
     kept = corpus_pipeline.line_dedup(spark, spark.createDataFrame([(1, "a b\nc", "en", "s", 5), (2, "A b", "en", "s", 3), (3, "", "en", "s", 0), (4, "c\nd e", "en", "s", 5)],
                                                                    docs.schema), SF)
     assert sorted(map(tuple, kept.collect())) == [(1, "a b\nc", "en", "s", 5), (3, "", "en", "s", 0), (4, "d e", "en", "s", 3)]
+
+
+def test_pipeline_stages_on_edge_rows(spark):
+    """NULLs, empty and long texts, repeated rows, columns of clashing names, and an empty table, stage by stage."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, id long, n int, row string, score string, _id int"
+    long = " ".join(f"w{i}" for i in range(30_000))
+    texts = [(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (None, None), (None, None),
+             (2, ""), (3, " \n "), (4, long), (5, long + " more"), (6, "seven eight nine"), (7, None)]
+    rows = [(d, t, "en" if k % 2 else None, ("a", "b", None)[k % 3], None if t is None else len(t), k, k, "r", "s", k) for k, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, kind)
+    for data in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, data, SF)
+            assert out.columns == docs.columns, name
+            if data is not docs:
+                assert out.count() == 0, name
+    kept = corpus_pipeline.toxicity(spark, docs, SF).collect()
+    assert {r.id for r in kept} <= set(range(len(rows))) and len({0, 1, 2} & {r.id for r in kept}) in (0, 3)
+    assert len({3, 4, 5, 10} & {r.id for r in kept}) in (0, 4)
+    lines = {r.id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert lines == {2: texts[2][1], 3: None, 4: None, 5: "", 6: " \n ", 7: long, 9: "seven eight nine", 10: None}
+    near = sorted(r.id for r in corpus_pipeline.ngram_jaccard(spark, docs, SF).collect())
+    assert near in ([0, 3, 4, 5, 6, 7, 9, 10], [1, 3, 4, 5, 6, 7, 9, 10])
+    mixed = corpus_pipeline.mixing(spark, docs, SF).collect()
+    assert all(r.text and r.n_chars == len(r.text) for r in mixed)
+    by_id = {k: t for k, (_, t) in enumerate(texts)}
+    assert all(by_id[r.id].startswith(r.text) for r in mixed)
+    packed = corpus_pipeline.packing(spark, docs, SF)
+    assert packed.where("start = 0").count() == len(rows) and corpus_pipeline.packing(spark, docs.limit(0), SF).count() == 0

@@ -339,3 +339,29 @@ def test_feature_weights_mean_one(spark):
     assert sum(got.values()) / 3 == pytest.approx(1.0) and got["c"] / got["a"] == pytest.approx(10.0, rel=1e-6)
 
 
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dedup_reads_its_chain_once_with_forward_windows(spark):
+    df = spark.createDataFrame([("a", "b", "ATTACK", t) for t in range(0, 500_000, 7_000)], "src_ip string, dst_ip string, verdict string, end_time_ms long")
+    plan = _plan(dedup_timeline(df))
+    assert "unboundedfollowing" not in plan and plan.count("MapInPandas") == 3
+
+
+def test_chain_steps_share_the_merged_events(spark):
+    df = spark.createDataFrame([("a", "b", "ATTACK", t) for t in range(0, 500_000, 7_000)], "src_ip string, dst_ip string, verdict string, end_time_ms long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "ReusedExchange" in _plan(dedup_timeline(df))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_dedup_without_time_counts_every_alert(spark):
+    rows = [("a", "b", "ATTACK", None)] * 5 + [("a", "b", "ATTACK", 10**9), (None, "b", "ATTACK", 3)]
+    df = spark.createDataFrame(rows, "src_ip string, dst_ip string, verdict string, end_time_ms long")
+    assert Counter(map(tuple, dedup_timeline(df).select("src_ip", "sent_ms", "suppressed").collect())) == Counter(
+        [("a", 0, 0), ("a", 10**9, 4), (None, 3, 0)])

@@ -27,7 +27,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.batches import group_starts, whole_groups
 
 CHUNK_WINDOWS = 20
-_NONE = np.iinfo(np.int64).min // 2
+#: windows from one chunk of a frame to the next on their common axis
+APART = CHUNK_WINDOWS + 2
+_EARLIEST = np.iinfo(np.int64).min
+_NONE = _EARLIEST // 2
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
@@ -38,32 +41,45 @@ def _long(name: str) -> T.StructField:
     return T.StructField(name, T.LongType())
 
 
+def _placed(pdf: pd.DataFrame, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group number, place) of every row: the chunks of a frame on one axis, too far apart for a window to reach the next."""
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    since = pdf["_t"].fillna(0).to_numpy(np.int64) - pdf["_chunk"].fillna(0).to_numpy(np.int64) * (window * CHUNK_WINDOWS)
+    return group, np.where(pdf["_t"].isna(), 0, since) + group * (window * APART)
+
+
+def _following(place: np.ndarray, group: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Per row the next row at least a window later, or the row after its group."""
+    return np.minimum(np.searchsorted(place, place + window), ends[group])
+
+
 def _summarise(keys: Sequence[str], window: int):
     groups = [*keys, "_chunk"]
 
     def run(batches):
         for pdf in whole_groups(batches, groups):
-            times, chunks = pdf["_t"].to_numpy(np.int64), pdf["_chunk"].to_numpy(np.int64)
             bounds = group_starts(pdf, groups)
-            entries, exits = [], []
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                t = times[a:b]
-                following = np.searchsorted(t, t + window)
-                begin = chunks[a] * window * CHUNK_WINDOWS
-                first = np.arange(min(len(t), np.searchsorted(t, begin + window) + 1))
-                at = first
-                while True:
-                    step = following[at]
-                    inside = step < len(t)
-                    if not inside.any():
-                        break
-                    at = np.where(inside, step, at)
-                end = t[at]
-                keep = np.append(end[1:] != end[:-1], True)
-                entries.append(t[first][keep])
-                exits.append(end[keep])
+            group, place = _placed(pdf, bounds, window)
+            times = pdf["_t"].fillna(_EARLIEST).to_numpy(np.int64)
+            ends = bounds[1:]
+            following = _following(place, group, ends, window)
+            early = place - group * (window * APART) < window
+            first = early | np.append(True, early[:-1])
+            first[bounds[:-1]] = True
+            first = np.flatnonzero(first)
+            owner, at = group[first], first
+            while True:
+                step = following[at]
+                inside = step < ends[owner]
+                if not inside.any():
+                    break
+                at = np.where(inside, step, at)
+            keep = np.append((at[1:] != at[:-1]) | (owner[1:] != owner[:-1]), True)
+            entry, exit_ = times[first[keep]], times[at[keep]]
+            cuts = np.searchsorted(owner[keep], np.arange(len(bounds))).tolist()
+            spans = list(zip(cuts[:-1], cuts[1:]))
             out = pdf.iloc[bounds[:-1]][groups].reset_index(drop=True)
-            yield out.assign(_entry=entries, _exit=exits)
+            yield out.assign(_entry=[entry[i:j] for i, j in spans], _exit=[exit_[i:j] for i, j in spans])
 
     return run
 
@@ -91,36 +107,42 @@ def _walk(keys: Sequence[str], window: int, every_event: bool):
 
     def run(batches):
         for pdf in whole_groups(batches, groups):
-            times = pdf["_t"].fillna(0).to_numpy(np.int64)
-            weights = pdf["_n"].to_numpy(np.int64)
-            lasts = pdf["_last"].fillna(_NONE).to_numpy(np.int64)
             bounds = group_starts(pdf, groups)
-            rows, starts, since = [], [], []
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                # row a carries the entry, the events follow
-                t, last = times[a + 1:b], lasts[a]
-                total = np.concatenate([[0], np.cumsum(weights[a + 1:b])])
-                i, open_at, found = int(np.searchsorted(t, last + window)), 0, []
-                while i < len(t):
-                    found.append(i)
-                    rows.append(a + 1 + i)
-                    starts.append(int(t[i]))
-                    since.append(int(total[i] - open_at))
-                    open_at = total[i] + 1
-                    i = int(np.searchsorted(t, t[i] + window))
-                if every_event:
-                    del rows[len(rows) - len(found):], starts[len(starts) - len(found):], since[len(since) - len(found):]
-                    owner = np.searchsorted(np.array(found, dtype=np.int64), np.arange(len(t)), side="right") - 1
-                    opened = np.where(owner >= 0, t[np.array(found, dtype=np.int64)[owner]] if found else last, last)
-                    rows.extend(range(a + 1, b))
-                    starts.extend(opened.tolist())
-                    since.extend([0] * len(t))
-                elif total[-1] > open_at:
-                    rows.append(a)
-                    starts.append(None)
-                    since.append(int(total[-1] - open_at))
+            # the first row of a group carries its entry, the events follow
+            head, ends, numbers = bounds[:-1], bounds[1:], np.arange(len(bounds) - 1)
+            group, place = _placed(pdf, bounds, window)
+            place[head] = (numbers * APART - 1) * window
+            times = pdf["_t"].fillna(0).to_numpy(np.int64)
+            lasts = pdf["_last"].fillna(_NONE).to_numpy(np.int64)[head]
+            before = np.concatenate([[0], np.cumsum(pdf["_n"].to_numpy(np.int64))])
+            following = _following(place, group, ends, window)
+            begin = pdf["_chunk"].fillna(0).to_numpy(np.int64)[head] * (window * CHUNK_WINDOWS)
+            opens = np.clip(lasts + window - begin, 1 - window, (APART - 1) * window) + numbers * (window * APART)
+            at, owner, found = np.clip(np.searchsorted(place, opens), head + 1, ends), numbers, [np.empty(0, dtype=np.int64)]
+            while len(at):
+                inside = at < ends[owner]
+                at, owner = at[inside], owner[inside]
+                found.append(at)
+                at = following[at]
+            starts = np.sort(np.concatenate(found))
+            if every_event:
+                latest = np.full(len(pdf), -1)
+                latest[starts] = starts
+                latest = np.maximum.accumulate(latest)
+                opened = np.where(latest > head[group], times[latest], lasts[group])
+                rows = np.delete(np.arange(len(pdf)), head)
+                start, since = pd.array(opened[rows], dtype="Int64"), np.zeros(len(rows), dtype=np.int64)
+            else:
+                own, closed = group[starts], before[head + 1]
+                since = before[starts] - np.where(np.append(False, own[1:] == own[:-1]), np.append(0, before[starts[:-1]] + 1), closed[own])
+                closed[own] = before[starts] + 1
+                rest = before[ends] - closed
+                held = np.flatnonzero(rest > 0)
+                rows, since = np.append(starts, head[held]), np.append(since, rest[held])
+                start = pd.array(np.append(times[starts], np.zeros(len(held), dtype=np.int64)), dtype="Int64")
+                start[len(starts):] = pd.NA
             out = pdf.iloc[rows][[*groups, "_t"]].reset_index(drop=True)
-            yield out.assign(_start=pd.array(starts, dtype="Int64"), _since=np.array(since, dtype=np.int64))
+            yield out.assign(_start=start, _since=since)
 
     return run
 
@@ -129,7 +151,8 @@ def _chain(events: DataFrame, keys: Sequence[str], window: int, every_event: boo
     keys = list(keys)
     groups = [*keys, "_chunk"]
     cut = events.withColumn("_chunk", F.floor(F.col("_t") / F.lit(window * CHUNK_WINDOWS)).cast("bigint"))
-    placed = cut.select(*groups, "_t").repartition(*groups).sortWithinPartitions(*groups, "_t")
+    # the same columns as below, so that one exchange of the merged events serves both
+    placed = cut.select(*groups, "_t", "_n").repartition(*groups).sortWithinPartitions(*groups, "_t")
     arrays = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("_entry", "_exit")]
     summaries = placed.mapInPandas(_summarise(keys, window), T.StructType([*_fields(cut, groups), *arrays]))
     folded = (

@@ -2,6 +2,8 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from flowwarden.operators import autoencoder
 from flowwarden.streaming import assembly as stream_assembly
 
 
@@ -97,3 +99,20 @@ def test_flows_do_not_depend_on_how_batches_cut_them():
         assert handle.value.kept is None and not handle.timers
     each, _ = _assemble([*[(r[0], [r]) for r in _ROWS], (5000, [])])
     np.testing.assert_array_equal(each, whole)
+
+
+def test_epochs_read_matrices_that_are_packed_once(spark):
+    model = autoencoder.Autoencoder.initial(autoencoder.layer_sizes(3), np.ones(3))
+    rng = np.random.default_rng(0)
+    x, held = rng.normal(size=(50, 3)), np.arange(50) % 5 == 0
+    rows = pa.RecordBatch.from_pydict({"_x": pa.array(list(x)), "_held": pa.array(held), "_shard": pa.array([4] * 50, pa.int32())})
+    packed = list(autoencoder._packed([rows.slice(0, 0), rows.slice(0, 30), rows.slice(30)]))
+    assert [b.num_rows for b in packed] == [1, 1]  # a row per batch, not a row per flow
+    adam = autoencoder.AdamState(np.zeros_like(model.params), np.zeros_like(model.params))
+    (found,) = autoencoder._local_epoch(model, adam, 1, 16, 1e-3, 0.0, True)(packed)
+    told = found.to_pylist()[0]
+    assert (told["shard"], told["n"], told["n_val"], told["steps"]) == (4, 40, 10, 2 + 1)
+    assert abs(told["val_loss"] - model.errors(x[held]).sum()) < 1e-9
+    again, _ = autoencoder.train_autoencoder(
+        spark.createDataFrame([(*map(float, r),) for r in x], "a double, b double, c double"), ["a", "b", "c"], epochs=1, shards=2)
+    assert again.params.shape == model.params.shape

@@ -3,8 +3,12 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from flowwarden.operators import autoencoder
+from flowwarden.functions.verdicts import alert_label, rule_suffix
+from flowwarden.operators import autoencoder, oversample
+from flowwarden.operators.rules import Rule, fired_flags
+from flowwarden.sources.tables import write_tables
 from flowwarden.streaming import assembly as stream_assembly
+from pyspark.sql import functions as F
 
 
 class _Value:
@@ -116,3 +120,36 @@ def test_epochs_read_matrices_that_are_packed_once(spark):
     again, _ = autoencoder.train_autoencoder(
         spark.createDataFrame([(*map(float, r),) for r in x], "a double, b double, c double"), ["a", "b", "c"], epochs=1, shards=2)
     assert again.params.shape == model.params.shape
+
+
+def test_nearest_keeps_the_order_of_a_stable_sort():
+    rng = np.random.default_rng(3)
+    for width, values in ((40, 4), (40, 10_000), (3, 4)):
+        distance = rng.integers(0, values, (30, width)).astype(float)
+        distance[:4, ::2], distance[5] = np.inf, np.inf
+        reach = np.where(np.arange(30) % 3 == 0, np.inf, values / 2)
+        rows, columns = oversample._nearest(distance, reach, 5)
+        near = np.argsort(distance, axis=1, kind="stable")[:, :5]
+        wanted = [(r, c) for r in range(30) for c in near[r] if np.isfinite(distance[r, c]) and distance[r, c] <= reach[r]]
+        assert list(zip(rows, columns)) == wanted
+
+
+def test_flag_texts_are_compiled(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 0), (3, 9)], "id int, n int")
+    made = [Rule(name, "SUSPECT", F.col("n") > limit, text) for name, limit, text in (
+        ("a", 1, F.format_string("a(n=%d)", "n")), ("none", 1, F.lit(None).cast("string")), ("b", 7, F.format_string("b(n=%d)", "n")))]
+    found = rows.select("id", fired_flags(made).alias("flags"))
+    assert {r["id"]: r["flags"] for r in found.collect()} == {1: ["_rule_a:a(n=5)"], 2: [], 3: ["_rule_a:a(n=9)", "_rule_b:b(n=9)"]}
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    cut = spark.createDataFrame([(["_rule_x:p(a=1)", "_rule_syn_flood:syn_flood(r=(2))"],), ([],)], "f array<string>")
+    assert [tuple(r) for r in cut.select(alert_label(F.col("f"), F.lit("z")), rule_suffix(F.col("f"))).collect()] == [
+        ("SYN Flood", "_rule_x:p,_rule_syn_flood:syn_flood"), ("z", "")]
+
+
+def test_tables_are_written_without_sorting_by_partition(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 2).withColumn("part", F.col("id") % 3)
+    write_tables({"t": df}, str(tmp_path), {"t": ["part"]})
+    files = list((tmp_path / "t").glob("part=*/*.parquet"))
+    assert len(files) == 6 and all(".zstd." in f.name for f in files)
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 3
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).groupBy("part").count().collect())) == [(0, 334), (1, 333), (2, 333)]

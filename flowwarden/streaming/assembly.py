@@ -158,13 +158,15 @@ def assemble_stream(
     at = F.timestamp_millis(F.unix_millis("ts")).alias("_event_time")
     timed = packets.select(*keys, at, "direction", "pkt_size", "tcp_flag").withWatermark("_event_time", delay)
     merged = timed.groupBy(*keys, "_event_time").agg(*packet_sums())
-    # one array of sums each way: what a key costs in the workers is mostly columns
+    # one array of sums each way: what a key costs in the workers is mostly columns; keys travel as text, where NULL equals NULL
     sent = F.array(*[F.col(f).cast("double") for f in _SENT])
-    fields = [*[packets.schema[k] for k in keys], T.StructField("sums", T.ArrayType(T.DoubleType()))]
-    flows = merged.select(*keys, "_event_time", F.unix_millis("_event_time").alias("packet_ms"), sent.alias("sums")).groupBy(*keys).transformWithStateInPandas(
+    fields = [*[T.StructField(k, T.StringType()) for k in keys], T.StructField("sums", T.ArrayType(T.DoubleType()))]
+    named_keys = [F.col(k).cast("string").alias(k) for k in keys]
+    flows = merged.select(*named_keys, "_event_time", F.unix_millis("_event_time").alias("packet_ms"), sent.alias("sums")).groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_Assembler(keys, idle_ms, active_ms), outputStructType=T.StructType(fields), outputMode="append", timeMode="eventTime")
     # NaN: none
-    sums = flows.select(*keys, *[F.when(~F.isnan(F.col("sums")[i]), F.col("sums")[i]).alias(f) for f, i in _AT.items()])
+    own_keys = [F.col(k).cast(packets.schema[k].dataType).alias(k) for k in keys]
+    sums = flows.select(*own_keys, *[F.when(~F.isnan(F.col("sums")[i]), F.col("sums")[i]).alias(f) for f, i in _AT.items()])
     whole = [*_SPAN, *_COUNTS, *[f"{g}_gaps" for g in _GAPS]]
     sums = sums.withColumns({f: F.col(f).cast("bigint") for f in whole})
     named = {

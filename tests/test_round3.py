@@ -5,7 +5,9 @@ import pandas as pd
 import pyarrow as pa
 from flowwarden.functions.verdicts import alert_label, rule_suffix
 from flowwarden.operators import autoencoder, oversample
+from flowwarden.operators.assembly import assemble_flows
 from flowwarden.operators.rules import Rule, fired_flags
+from flowwarden.sources.streams import write_stream
 from flowwarden.sources.tables import write_tables
 from flowwarden.streaming import assembly as stream_assembly
 from pyspark.sql import functions as F
@@ -153,3 +155,28 @@ def test_tables_are_written_without_sorting_by_partition(spark, tmp_path):
     assert len(files) == 6 and all(".zstd." in f.name for f in files)
     assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 3
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).groupBy("part").count().collect())) == [(0, 334), (1, 333), (2, 333)]
+
+
+def test_stream_assembles_packets_of_null_number_keys(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(None if n % 3 == 0 else n % 3, None if n % 2 else 7, pd.Timestamp(int(t), unit="ms").to_pydatetime(), "fwd" if n % 5 else "bwd", float(n % 11), "SYN")
+            for n, t in enumerate(rng.permutation(240) * 700 + 1_700_000_000_000)]
+    packets = spark.createDataFrame(rows, "src_key long, dst_key int, ts timestamp, direction string, pkt_size double, tcp_flag string")
+    packets.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(packets.schema).parquet(str(tmp_path / "in"))
+    limits = {"idle_ms": 5_000, "active_ms": 20_000}
+    found = stream_assembly.assemble_stream(stream, delay="0 seconds", **limits)
+    write_stream(found, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.schema(found.schema).parquet(str(tmp_path / "out"))
+    assert got.schema["src_key"].dataType == packets.schema["src_key"].dataType
+    wanted = assemble_flows(packets, **limits)
+
+    def told(df):
+        return {(r["src_key"], r["dst_key"], r["bidirectional_first_seen_ms"]): (
+            r["bidirectional_last_seen_ms"], r["bidirectional_packets"], r["src2dst_bytes"], r["bidirectional_max_iat"]) for r in df.collect()}
+
+    got, wanted = told(got), told(wanted)
+    assert {k: v for k, v in wanted.items() if k in got} == got and any(k[0] is None for k in got)
+    # left in the state: the last flow of a key, where it is still open
+    left = [k for k in wanted if k not in got]
+    assert len({k[:2] for k in left}) == len(left) and all(k[2] == max(x[2] for x in wanted if x[:2] == k[:2]) for k in left)

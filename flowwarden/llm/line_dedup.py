@@ -25,7 +25,7 @@ from .words import first_lines, mix, texts_of, word_hashes
 
 BUCKETS = 1 << 20
 FILTER_BITS = 1 << 22
-FIRST = 1
+FIRST = 6
 FEW_LINES = 1_500_000
 _SLICE = 1 << 14
 _LINE_BITS, _TEXT_BITS = 28, 35
@@ -149,14 +149,27 @@ def bit_filter(parts: DataFrame) -> np.ndarray:
     return out
 
 
-_ENTRY = ("u4", "u1", "u2", "u2", "u1", "u8", "u8", "i8", "i8")
-#: Entries of the last pass carry 512 further parity bits: few lines are sent then, and all their candidates count.
-_WIDE = 8
+_ENTRY = ("u4", "u1", "u4", "u1", "u2", "u2", "u1", "u8", "u8", "i8", "i8")
+#: 128 parity bits tell hardly any sets of more words than that apart: entries of lines from ``LONG`` words carry so many
+#: further 64 bits. In the last pass, where all candidates count, those of all lines carry more of them.
+LONG, _LONG_WIDE, _WIDE = 112, 5, 8
 _OCCURRENCE = ("u8", "i8", "i8", "u1")
 
 
-def _emit(rarity, parts: int, percent: int, token_bits=None, line_bits=None):
-    """Per part two kinds of packets: prefix tokens (first byte 0) and line occurrences (first byte 1)."""
+def _size_class(size: np.ndarray, percent: int) -> np.ndarray:
+    """Never falls with the size; sizes that similar lines can have lie in one class or in neighbouring ones."""
+    return (np.log(size) / np.log(100 / min(percent, 99))).astype(_U)
+
+
+def _class_bits(token: np.ndarray, size_class: np.ndarray) -> np.ndarray:
+    return _bits(mix(token) + size_class)
+
+
+def _emit(rarity, parts: int, percent: int, token_bits=None, class_bits=None, line_bits=None):
+    """Per part packets: prefix tokens (first byte 0; 2 with further parity bits) and line occurrences (first byte 1).
+
+    With the bit filters only tokens of the lines they were made of, in lines whose size suits one of them.
+    """
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -182,10 +195,7 @@ def _emit(rarity, parts: int, percent: int, token_bits=None, line_bits=None):
             # 128 parity bits of the set: the more of them differ, the more the sets do.
             bit, upper = _U(1) << (found.words & _U(63)), (found.words & _U(64)) > 0
             parity = [np.bitwise_xor.reduceat(np.where(upper == half, bit, _U(0)), found.first) for half in (False, True)]
-            wide = []
-            if token_bits is not None:
-                bit, slot = _U(1) << ((found.words >> _U(7)) & _U(63)), (found.words >> _U(13)) % _U(_WIDE)
-                wide = [np.bitwise_xor.reduceat(np.where(slot == _U(k), bit, _U(0)), found.first) for k in range(_WIDE)]
+            long = size >= (LONG if token_bits is None else 0)
             # Sets of one or two words are similar only where they are equal.
             use = earliest & (size >= 3)
             where = np.repeat(np.arange(len(size)), size)
@@ -194,25 +204,37 @@ def _emit(rarity, parts: int, percent: int, token_bits=None, line_bits=None):
             wanted = np.ones(len(size), dtype=bool)
             if token_bits is not None:
                 wanted = line_bits.value[_pair_bits(at_id, at_mark)]
-                keep &= token_bits.value[_bits(found.rank)]
-            where, pos = where[keep], pos[keep]
-            if len(where):
-                token = mix(found.rank[keep])
+                keep &= class_bits.value[_class_bits(found.rank, _size_class(size, percent)[where])]
+            for form, kept in ((b"\0", keep & ~long[where]), (b"\2", keep & long[where])):
+                if not kept.any():
+                    continue
+                at, place, token = where[kept], pos[kept], mix(found.rank[kept])
                 rest = token // _U(parts)
                 columns = [
                     (rest >> _U(8)).astype(np.uint32), (rest & _U(0xFF)).astype(np.uint8),
-                    np.minimum(size[where], 0xFFFF).astype(np.uint16), np.minimum(pos, 0xFFFF).astype(np.uint16),
-                    wanted[where].astype(np.uint8), parity[0][where], parity[1][where], at_id[where], at_mark[where],
-                    *[w[where] for w in wide],
+                    (content[at] >> _U(32)).astype(np.uint32), (content[at] & _U(0xFF)).astype(np.uint8),
+                    np.minimum(size[at], 0xFFFF).astype(np.uint16), np.minimum(place, 0xFFFF).astype(np.uint16),
+                    wanted[at].astype(np.uint8), parity[0][at], parity[1][at], at_id[at], at_mark[at],
                 ]
+                if form == b"\2":
+                    columns += _further_parity(found, long, _LONG_WIDE if token_bits is None else _WIDE, at)
                 for p, dealt in packets.split_rows((token % _U(parts)).astype(np.int64), columns, parts):
-                    rows.append((p, b"\0" + packets.pack(dealt)))
+                    rows.append((p, form + packets.pack(dealt)))
             if rows:
                 yield packets.batch_of(rows)
 
     return run
 
 
+def _further_parity(found: Lines, long: np.ndarray, wide: int, at: np.ndarray) -> list[np.ndarray]:
+    """``wide`` times 64 parity bits, by other bits of the words' hashes, of the lines ``at``, all of which are ``long``."""
+    words = found.words[np.repeat(long, found.size)]
+    first = np.concatenate([[0], np.cumsum(found.size[long])[:-1]])
+    bit, slot = _U(1) << ((words >> _U(7)) & _U(63)), (words >> _U(13)) % _U(wide)
+    place = np.cumsum(long)[at] - 1
+    return [np.bitwise_xor.reduceat(np.where(slot == _U(k), bit, _U(0)), first)[place] for k in range(wide)]
+
+
 def _likeliest_few(y, x, far, few: int | None):
     """Distinct (y, x), per y the ``few`` x that differ least (ties: the earliest), their ``far`` and whether y had more."""
     order = np.lexsort((x[1], x[0], far, y[1], y[0]))
@@ -243,16 +265,16 @@ def _found(kind: int, y, x, far, more) -> Batches:
             [pa.array(np.full(n, kind, np.int32)), *[pa.array(c[s]) for c in (*y, *x)], pa.array(far[s]), pa.array(more[s])], schema=_FOUND)
 
 
-def _meet(percent: int, few: int | None, wide: int = 0):
+def _meet(percent: int, few: int | None, wide: int):
     """Decided lines (kind 0: equal to an earlier one) and candidate pairs (kind 1) of the packets of a task."""
-    entry = _ENTRY + ("u8",) * wide
+    forms = (_ENTRY, _OCCURRENCE, _ENTRY + ("u8",) * wide)
 
     def run(batches: Batches) -> Batches:
-        entries, lines = [], []
+        packed: tuple[list, list, list] = ([], [], [])
         for batch in batches:
             for payload in batch.column(1).to_pylist():
-                kinds, into = (entry, entries) if payload[0] == 0 else (_OCCURRENCE, lines)
-                into.append(packets.unpack(payload[1:], kinds))
+                packed[payload[0]].append(packets.unpack(payload[1:], forms[payload[0]]))
+        short, lines, long = packed
         if lines:
             content, i, m, late = [np.concatenate(c) for c in zip(*lines)]
             lines.clear()
@@ -261,16 +283,31 @@ def _meet(percent: int, few: int | None, wide: int = 0):
             gone[1:] |= content[order[1:]] == content[order[:-1]]
             out = order[gone]
             yield from _found(0, (i[out], m[out]), (i[out], m[out]), np.zeros(len(out), np.int32), np.zeros(len(out), dtype=bool))
-        if not entries:
+        if not short and not long:
             return
-        hi, lo, size, pos, wanted, parity, upper, i, m, *more_bits = [np.concatenate(c) for c in zip(*entries)]
-        entries.clear()
+        columns = [np.concatenate(c) for c in zip(*short, *[e[: len(_ENTRY)] for e in long])]
+        more_bits = [np.concatenate(c) for c in zip(*[e[len(_ENTRY) :] for e in long])]
+        hi, lo, content, rest, size, pos, wanted, parity, upper, i, m = columns
+        # Where in more_bits an entry's further parity bits lie; -1: it has none.
+        further = np.full(len(size), -1, dtype=np.int32)
+        if long:
+            further[len(size) - len(more_bits[0]) :] = np.arange(len(more_bits[0]), dtype=np.int32)
+        short.clear()
+        long.clear()
         token = (hi.astype(_U) << _U(8)) | lo
-        # One order of lines by (size, hash) in all token groups: of a similar pair the first is met in its index prefix.
-        tie = mix(mix(i.astype(_U)) ^ m.astype(_U)) >> _U(16)
-        order = np.lexsort(((size.astype(_U) << _U(48)) | tie, token))
-        token, size, pos, wanted, parity, upper, i, m = [c[order] for c in (token, size, pos, wanted, parity, upper, i, m)]
-        more_bits = [c[order] for c in more_bits]
+        # One order of lines by (size, content) in all token groups: of a similar pair the first is met in its index prefix.
+        line = (size.astype(_U) << _U(48)) | (content.astype(_U) << _U(16)) | (rest.astype(_U) << _U(8)) | (mix(parity ^ mix(upper)) >> _U(56))
+        order = np.lexsort((line, token))
+        token, line, size, pos, wanted, parity, upper, i, m, further = [c[order] for c in (token, line, size, pos, wanted, parity, upper, i, m, further)]
+        # The earliest of equal lines stands for all: the later ones are decided as such, and what is similar to one is to all.
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1]) | (parity[1:] != parity[:-1]) | (upper[1:] != upper[:-1])
+        start = np.flatnonzero(new)
+        copies = np.diff(np.append(start, len(new)))
+        low = np.minimum.reduceat(i, start)
+        m = np.minimum.reduceat(np.where(i == np.repeat(low, copies), m, np.iinfo(np.int64).max), start)
+        i, wanted = low, np.maximum.reduceat(wanted, start)
+        token, size, pos, parity, upper, further = [c[start] for c in (token, size, pos, parity, upper, further)]
         size, pos = size.astype(np.int32), pos.astype(np.int32)
         total = 100 + percent
         index = size - -(-size * 2 * percent // total) + 1
@@ -297,8 +334,11 @@ def _meet(percent: int, few: int | None, wide: int = 0):
             differ += np.bitwise_count(upper[s] ^ upper[o])
             fine = differ * total <= most
             s, o, differ, most = s[fine], o[fine], differ[fine], most[fine]
-            if wide:
-                fine = sum(np.bitwise_count(c[s] ^ c[o]).astype(np.int32) for c in more_bits) * total <= most
+            both = np.flatnonzero((further[s] >= 0) & (further[o] >= 0))
+            if len(both):
+                one, two = further[s[both]], further[o[both]]
+                differ[both] = np.maximum(differ[both], sum(np.bitwise_count(c[one] ^ c[two]).astype(np.int32) for c in more_bits))
+                fine = differ * total <= most
                 s, o, differ = s[fine], o[fine], differ[fine]
             a, b, p, q = size[s], size[o], pos[s], pos[o]
             fine = np.minimum(p, q) + np.minimum(a - p, b - q) >= -(-percent * (a + b) // total)
@@ -409,7 +449,7 @@ def _similar(rows: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
 
 
 def _bits_of_lines(lines: DataFrame, rows: DataFrame, rarity, percent: int):
-    """Bit filters of the prefix tokens and of the positions of the given lines."""
+    """Bit filters of the given lines: their prefix tokens, these with the classes of the sizes similar to theirs, their positions."""
     positions = lines.select("id", "mark")
 
     def of_tokens(batches: Batches) -> Batches:
@@ -418,10 +458,15 @@ def _bits_of_lines(lines: DataFrame, rows: DataFrame, rarity, percent: int):
                 words = np.frombuffer(data, dtype=_U)
                 rank = np.sort(_rank(words, rarity.value))
                 n = len(rank)
-                yield pa.RecordBatch.from_arrays([pa.array(_bits(rank[: n - -(-n * percent // 100) + 1]))], names=["bit"])
+                prefix = rank[: n - -(-n * percent // 100) + 1]
+                low, high = _size_class(np.array([-(-n * percent // 100), n * 100 // percent]), percent).tolist()
+                bits = [_bits(prefix), *[_class_bits(prefix, _U(c)) for c in range(low, high + 1)]]
+                kind = np.repeat([0, 1], [len(prefix), len(prefix) * (len(bits) - 1)])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate(bits))], names=["kind", "bit"])
 
     words = stored(_line_words(rows, positions.withColumn("tag", F.lit(0)), np.ndarray.tobytes), "line_words")
-    return (bit_filter(words.select("data").mapInArrow(of_tokens, "bit long")),
+    bits = stored(words.select("data").mapInArrow(of_tokens, "kind long, bit long").distinct(), "token_bits")
+    return (*[bit_filter(bits.where(F.col("kind") == kind)) for kind in (0, 1)],
             bit_filter(positions.mapInArrow(_bits_of_pairs, "bit long")))
 
 
@@ -431,12 +476,12 @@ def removed_lines(docs: DataFrame, percent: int = 75, first: int = FIRST) -> Dat
     parts, rows = shuffle_partitions(spark), _identified(docs)
     rarity = spark.sparkContext.broadcast(rarity_table(docs))
     sent = rows.mapInArrow(_emit(rarity, parts, percent), packets.SCHEMA)
-    found = stored(packets.exchange(sent, parts).mapInArrow(_meet(percent, first), _FOUND_SQL), "found")
+    found = stored(packets.exchange(sent, parts).mapInArrow(_meet(percent, first, _LONG_WIDE), _FOUND_SQL), "found")
     equal = found.where("kind = 0").select("id", "mark")
-    # Lines that equal an earlier one need no candidates; of the others each is held against its likeliest one.
+    # Lines that equal an earlier one have no candidates; of the others each is held against its likeliest one.
     mine, x = ["id", "mark"], F.struct("far", "id2", "mark2")
     candidates = stored(
-        found.where("kind = 1").join(equal, mine, "left_anti").groupBy(*mine)
+        found.where("kind = 1").groupBy(*mine)
         .agg(F.array_sort(F.collect_set(x)).alias("x"), F.max("more").alias("more")), "candidates")
     similar = stored(_similar(rows, candidates.select(*mine, F.col("x")[0].alias("x")).select(*mine, "x.id2", "x.mark2"), percent), "similar")
     gone = equal.unionByName(similar)
@@ -449,8 +494,8 @@ def removed_lines(docs: DataFrame, percent: int = 75, first: int = FIRST) -> Dat
         gone = gone.unionByName(others)
         unsettled = stored(unsettled.where("more").select(*mine).join(others, mine, "left_anti"), "unsettled")
     if unsettled.limit(1).count():
-        token_bits, line_bits = (spark.sparkContext.broadcast(b) for b in _bits_of_lines(unsettled, rows, rarity, percent))
-        again = rows.mapInArrow(_emit(rarity, parts, percent, token_bits, line_bits), packets.SCHEMA)
+        filters = [spark.sparkContext.broadcast(b) for b in _bits_of_lines(unsettled, rows, rarity, percent)]
+        again = rows.mapInArrow(_emit(rarity, parts, percent, *filters), packets.SCHEMA)
         every = packets.exchange(again, parts).mapInArrow(_meet(percent, None, _WIDE), _FOUND_SQL)
         gone = gone.unionByName(_similar(rows, every.join(unsettled, mine, "left_semi"), percent))
     numbers = F.collect_set(F.col("mark").bitwiseAND((1 << _LINE_BITS) - 1).cast("int")).alias("numbers")

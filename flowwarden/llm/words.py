@@ -50,8 +50,9 @@ def word_hashes(
     ``separators`` says which bytes part words; it must include ``\\n``. For each n of ``prefixes`` follow the
     hashes of the words' first n bytes.
     """
-    buf = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
-    space = separators[buf]
+    joined = b"\n".join(texts).lower() + b"\n"
+    buf = np.frombuffer(joined, dtype=np.uint8)
+    space = np.frombuffer(joined.translate(separators.tobytes()), dtype=bool)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
@@ -66,7 +67,9 @@ def word_hashes(
         n = int(last - first)
         power, inverse = _powers(max(_BLOCK, 1 << (n - 1).bit_length()))
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[buf[first:last]] * power[:n], out=sums[1:])
+        values = np.take(_BYTE, buf[first:last])
+        values *= power[:n]
+        np.cumsum(values, out=sums[1:])
         s = starts[at:stop] - first
         out[at:stop] = (sums[ends[at:stop] - first] - sums[s]) * inverse[s]
         for k, size in enumerate(prefixes):
@@ -74,9 +77,15 @@ def word_hashes(
             short[k][at:stop] = (sums[e] - sums[s]) * inverse[s]
         at = stop
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    doc = np.searchsorted(np.cumsum(lengths), starts, "right")
-    breaks = np.flatnonzero(buf == 0x0A)
-    return mix(out), doc, np.searchsorted(breaks, starts, "left"), *[mix(x) for x in short]
+    doc = _places(np.cumsum(lengths), starts)
+    line = _places(np.flatnonzero(buf == 0x0A), starts)
+    return mix(out), doc, line, *[mix(x) for x in short]
+
+
+def _places(bounds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many of ``bounds`` come before each of ``starts``; both are sorted."""
+    before = np.searchsorted(starts, bounds, "left")
+    return np.repeat(np.arange(len(bounds) + 1), np.diff(before, prepend=0, append=len(starts)))
 
 
 def first_lines(texts: Sequence[bytes]) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Line dedup, n-gram join, toxicity and fingerprints against brute force, and their edge cases."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -141,6 +142,32 @@ def test_line_dedup_of_one_long_line(spark):
     assert got == {1: 0, 2: 1, 3: 0}
 
 
+def test_long_different_lines_need_no_second_sending(spark, monkeypatch):
+    """Parity bits tell different lines of many common words apart; equal and similar lines still go."""
+    from flowwarden.llm import line_dedup
+
+    rng = random.Random(5)
+    lines = [rng.sample([f"v{n}" for n in range(700)], 220) for _ in range(60)]
+    rows = [(d, " ".join(words)) for d, words in enumerate(lines)]
+    rows += [(100 + d, rows[d][1].upper()) for d in range(5)] + [(200 + d, " ".join(lines[d][:200])) for d in range(5)]
+    monkeypatch.setattr(line_dedup, "_bits_of_lines", None)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == brute_lines(rows) and sum(n for _, n, _ in got.values()) == 10
+
+
+def test_equal_lines_are_no_candidates(spark):
+    """Copies in other batches are decided by their content alone; a line meets the earliest of a set of copies only."""
+    from flowwarden.llm import line_dedup, packets
+
+    rows = [(d, "a b c d e f g h i j") for d in range(9, 0, -1)] + [(20, "a b c d e f g h i k")]
+    identified = line_dedup._identified(spark.createDataFrame(rows, DOCS).repartition(10))
+    rarity = spark.sparkContext.broadcast(np.zeros(line_dedup.BUCKETS, dtype=np.uint32))
+    sent = identified.mapInArrow(line_dedup._emit(rarity, 4, 75), packets.SCHEMA)
+    met = packets.exchange(sent, 4).mapInArrow(line_dedup._meet(75, 6, line_dedup._LONG_WIDE), line_dedup._FOUND_SQL).collect()
+    assert sorted(r.id for r in met if r.kind == 0) == list(range(2, 10))
+    assert {(r.id, r.id2) for r in met if r.kind == 1} == {(20, 1)}
+
+
 def test_word_hashes_do_not_depend_on_blocks():
     text = ("Ab c\td " * 400_000).encode()
     one, _, _ = word_hashes([b"ab c d"])
